@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grantscope.llm import linededup
+from grantscope.llm import linededup, minhash
 from grantscope.llm.common import table
 
 
@@ -10,5 +10,9 @@ def op2_line_dedup(spark, sf_dir):
     return linededup.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup,)}
+def op10_minhash_near_dedup(spark, sf_dir):
+    return minhash.query(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op10_minhash_near_dedup)}
 ORACLES = {"op2_line_dedup": linededup.ORACLE}
