@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grantscope.llm import linededup, minhash
+from grantscope.llm import decontaminate, linededup, minhash
 from grantscope.llm.common import table
 
 
@@ -14,5 +14,9 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return minhash.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op10_minhash_near_dedup)}
-ORACLES = {"op2_line_dedup": linededup.ORACLE}
+def op9_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op10_minhash_near_dedup, op9_benchmark_decontamination)}
+ORACLES = {"op2_line_dedup": linededup.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
