@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grantscope.llm import decontaminate, linededup, minhash
+from grantscope.llm import decontaminate, linededup, minhash, quality
 from grantscope.llm.common import table
 
 
@@ -18,5 +18,9 @@ def op9_benchmark_decontamination(spark, sf_dir):
     return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op10_minhash_near_dedup, op9_benchmark_decontamination)}
+def op1_quality_classifier(spark, sf_dir):
+    return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op10_minhash_near_dedup, op9_benchmark_decontamination)}
 ORACLES = {"op2_line_dedup": linededup.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
