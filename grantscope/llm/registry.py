@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grantscope.llm import decontaminate, linededup, minhash, quality, toxicity
+from grantscope.llm import decontaminate, linededup, minhash, pii, quality, secrets, toxicity
 from grantscope.llm.common import table
 
 
@@ -26,5 +26,13 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op4_toxicity, op10_minhash_near_dedup, op9_benchmark_decontamination)}
+def op3_pii(spark, sf_dir):
+    return pii.query(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark, sf_dir):
+    return secrets.query(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_pii, op4_toxicity, op6_secret_scan, op10_minhash_near_dedup, op9_benchmark_decontamination)}
 ORACLES = {"op2_line_dedup": linededup.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
