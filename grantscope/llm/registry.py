@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grantscope.llm import chat, decontaminate, linededup, minhash, mixing, pii, quality, secrets, toxicity
+from grantscope.llm import chat, decontaminate, embeddup, linededup, minhash, mixing, pii, quality, secrets, toxicity
 from grantscope.llm.common import table
 
 
@@ -42,5 +42,9 @@ def op7_chat_formatting(spark, sf_dir):
     return chat.query(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_pii, op4_toxicity, op6_secret_scan, op7_chat_formatting, op8_source_mixing, op10_minhash_near_dedup, op9_benchmark_decontamination)}
+def op5_embedding_near_dedup(spark, sf_dir):
+    return embeddup.query(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_pii, op4_toxicity, op5_embedding_near_dedup, op6_secret_scan, op7_chat_formatting, op8_source_mixing, op10_minhash_near_dedup, op9_benchmark_decontamination)}
 ORACLES = {"op2_line_dedup": linededup.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
