@@ -1,6 +1,9 @@
 """Named queries over the supplied tables, with their SQL counterparts."""
 
-from grantscope.plans import catalog
+from grantscope.plans import catalog, core  # noqa: F401  (core registers its queries)
+
+#: The flagship: who can reach process execution, and by which path of delegation.
+FLAGSHIP = "authority_query"
 
 
 def all_queries():
