@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grantscope.functions import expr as X
-from grantscope.operators import authority, closure, delta, policy, query, reconcile, rules
+from grantscope.operators import authority, closure, delta, graph, mcp, policy, query, reconcile, rules
 from grantscope.plans.catalog import register
 from grantscope.plans.lens import facts, with_views
 
@@ -378,3 +378,31 @@ def security_review(spark, sf_dir):
     b, h = authority.tool_relationships(base), authority.tool_relationships(head)
     changed = delta.result_delta(policy.evaluate(policy.observations(b), base.clauses), policy.evaluate(policy.observations(h), head.clauses))
     return delta.security_review(delta.relationship_delta(b, h), changed)
+
+
+@register("mcp_authority", sql("agents mcp_servers", """
+SELECT a.name AS agent, m.name AS server, CASE WHEN authenticated THEN 'authenticated' WHEN NOT authenticated THEN 'unauthenticated' ELSE 'unknown' END AS authentication,
+  CASE WHEN m.allowed_tools <> '' THEN 'explicit_allowlist' WHEN m.denied_tools <> '' THEN 'denylist_only' WHEN m.dynamic_tool_filter THEN 'dynamic_filter' ELSE 'unrestricted_or_unknown' END AS tool_scope, url IS NOT NULL AS remote,
+  concat_ws(',', CASE WHEN url IS NOT NULL AND authenticated IS NULL THEN 'authentication' END, CASE WHEN identity IS NULL THEN 'identity' END, CASE WHEN url IS NULL AND command IS NULL THEN 'destination' END, CASE WHEN m.allowed_tools = '' THEN 'tool_catalogue' END) AS gaps
+FROM f_mcp_servers m JOIN f_agents a ON m.agent_key = a.agent_key"""))
+def mcp_authority(spark, sf_dir):
+    return mcp.effective(facts(spark, sf_dir))
+
+
+@register("graph_nodes", sql("agents tools mcp_servers identities inputs destinations resources", """
+SELECT 'agent' AS kind, count(DISTINCT name) AS n FROM f_agents UNION ALL SELECT 'tool', count(DISTINCT (agent_key, name)) FROM f_tools UNION ALL SELECT 'mcp_server', count(DISTINCT (m.agent_key, m.name)) FROM f_mcp_servers m JOIN f_agents a ON a.agent_key = m.agent_key
+UNION ALL SELECT 'identity', count(DISTINCT (agent_key, name)) FROM f_identities UNION ALL SELECT 'input', count(DISTINCT (agent_key, name)) FROM f_inputs
+UNION ALL SELECT 'network_destination', count(DISTINCT target) FROM f_destinations UNION ALL SELECT 'data_resource', count(DISTINCT selector) FROM f_resources
+UNION ALL SELECT 'model', 0 UNION ALL SELECT 'prompt', 0 UNION ALL SELECT 'memory', 0"""))
+def graph_nodes(spark, sf_dir):
+    return graph.inventory(graph.nodes(facts(spark, sf_dir)))
+
+
+@register("graph_edges", sql("agents delegations tools mcp_servers identities inputs destinations resources", PATHS + """
+SELECT 'INVOKES' AS kind, (SELECT count(DISTINCT (agent_key, name)) FROM f_tools) + (SELECT count(DISTINCT (m.agent_key, m.name)) FROM f_mcp_servers m JOIN f_agents a ON a.agent_key = m.agent_key) AS n
+UNION ALL SELECT 'USES_IDENTITY', count(DISTINCT (t.agent_key, t.name, t.identity)) FROM f_tools t JOIN f_identities i ON i.agent_key = t.agent_key AND i.name = t.identity
+UNION ALL SELECT 'CONNECTS_TO', count(DISTINCT (agent_key, owner_name, target)) FROM f_destinations UNION ALL SELECT 'READS_FROM', count(DISTINCT (agent_key, owner_name, selector)) FROM f_resources
+UNION ALL SELECT 'RECEIVES_INPUT_FROM', count(DISTINCT (agent_key, name)) FROM f_inputs UNION ALL SELECT 'DELEGATES_TO', count(*) FROM edge
+UNION ALL SELECT 'CAN_REACH_AUTHORITY', count(DISTINCT (w.root, w.leaf, i.name)) FROM walk w JOIN f_agents a ON a.name = w.leaf JOIN f_identities i ON i.agent_key = a.agent_key WHERE w.root <> w.leaf"""))
+def graph_edges(spark, sf_dir):
+    return graph.kind_counts(graph.edges(facts(spark, sf_dir)))
