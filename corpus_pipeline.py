@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantscope.llm import decontaminate, linededup, minhash, mixing, quality
-from grantscope.llm.common import cut, table
+from grantscope.llm.common import cut, shield, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +22,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; n_chars follows the text."""
-    out = linededup.drop_repeated_lines(docs)
+    safe, own = shield(docs, "doc_id", "text", "n_chars")
     changed = F.col("n_dropped") > 0
     columns = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(columns).select(*docs.columns)
+    return linededup.drop_repeated_lines(safe).withColumns(columns).select(*own)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
-    return minhash.mark_near_duplicates(docs, words=5, percent=80).filter("kept").select(*docs.columns)
+    safe, own = shield(docs, "doc_id", "text")
+    return minhash.mark_near_duplicates(safe, words=5, percent=80).filter("kept").select(*own)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@
    the corpus. A posting of that term at an item's offset gives a candidate alignment (document, item, shift).
 3. The lists of the other terms, adjusted by their offsets, are intersected with the candidates: the expected
    postings of an alignment are semi-joined with the index. Runs of `window` matches are exact phrases;
-   windows with at least `near` of their words in place are proximity matches.
+   windows with at least `near` of their words in place (when asked for) are proximity matches.
 
 Defined results: null or wordless documents have no words and no hits; null or wordless items match nothing.
 Rows sharing doc_id and text share their hits; rows sharing only doc_id are told apart by their text. A null
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantscope.llm.common import ascii_lower, cut, sha256_hex, small
+from grantscope.llm.common import ascii_lower, cut, sha256_hex, shield, small
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands for a document's end among its terms; no word can hold it.
@@ -43,8 +43,14 @@ def postings(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     return cut(found.join(_side(terms), "word").select("tid", "uid", "doc_id", "pos").sortWithinPartitions("tid"), "postings")
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = 10, near: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(index, phrases, proximity): phrases are (uid, item, start, end) runs; proximity counts near windows by uid."""
+def matches(docs: DataFrame, items: DataFrame, window: int = 10, near: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, phrases, proximity): phrases are (uid, item, start, end) runs; proximity counts near items by uid.
+
+    An exact window is found by its rarest term. One with `near` of its words in place holds at least one of its
+    window - near + 1 rarest there, so these are all looked up when proximity is asked for.
+    """
+    probes = 1 if near is None else window - near + 1
+    near = near or window
     tokens = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.xxhash64("item_id", "text").alias("iid"), F.posexplode(words_of(F.col("text"))).alias("j", "word"))
     tokens = cut(tokens.distinct().withColumn("tid", F.xxhash64("word")), "item-tokens")
     index = postings(docs, tokens)
@@ -53,9 +59,11 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, near: int = 8)
     ranked = (
         tokens.join(often, "tid", "left")
         .withColumn("n", F.count("*").over(by_item))
-        .withColumn("rarest", F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "j", "tid")).over(by_item.orderBy("j").rowsBetween(0, window - 1)))
+        .withColumn("terms", F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "j", "tid")).over(by_item.orderBy("j").rowsBetween(0, window - 1))))
         .withColumn("w", F.least(F.lit(window), "n"))
-        .filter("j <= n - w and rarest.df > 0")
+        .filter("j <= n - w")
+        .withColumn("rarest", F.explode(F.slice("terms", 1, probes)))
+        .filter("rarest.df > 0")
     )
     anchors = ranked.groupBy("iid", F.col("rarest.tid").alias("tid"), F.col("rarest.j").alias("a")).agg(F.min("j").alias("lo"), F.max(F.col("j") + F.col("w") - 1).alias("hi"))
     anchors = cut(anchors, "anchors")
@@ -75,8 +83,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, near: int = 8)
     return index, phrases, proximity
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, near: int = 8) -> DataFrame:
-    """Per row of `docs`: doc_id, uid, n_words, n_hit, items (sorted array), contaminated, n_near (items near it)."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, near: int | None = None) -> DataFrame:
+    """Per row of `docs`: doc_id, uid, n_words, n_hit, items (sorted array), contaminated, n_near (items near it, exact ones too)."""
     index, phrases, proximity = matches(docs, items, window, near)
     phrases = cut(phrases, "phrases")
     covered = phrases.select("uid", F.explode(F.sequence("start", "end")).alias("p")).distinct().groupBy("uid").agg(F.count("*").alias("n_hit"))
@@ -96,8 +104,9 @@ def query(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """`docs` without the rows that hold a benchmark window."""
-    hit = contamination(docs, items, window).filter("contaminated").select(F.col("uid").alias("_uid")).distinct()
-    return docs.join(hit, F.xxhash64("doc_id", "text") == F.col("_uid"), "left_anti")
+    safe, own = shield(docs, "doc_id", "text")
+    hit = contamination(safe, items, window).filter("contaminated").select("uid").distinct()
+    return safe.join(hit, F.xxhash64("doc_id", "text") == F.col("uid"), "left_anti").select(*own)
 
 
 ORACLE = r"""

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantscope.llm.common import ascii_lower, cut, sha256_hex
+from grantscope.llm.common import ascii_lower, cut, sha256_hex, shield
 
 #: Fixed values of the contract: what is stripped from a line's ends; the least code points; the least documents.
 STRIPPED, MIN_CHARS, MIN_DOCS = " \t\n\x0b\x0c\r", 20, 3
@@ -63,7 +63,8 @@ def _compact(runs: list[DataFrame]) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 4) -> DataFrame:
-    """`docs` (doc_id, text, ...) with kept_text, n_lines and n_dropped beside its own columns."""
+    """`docs` (doc_id, text, ...) with kept_text, n_lines and n_dropped beside its own columns, which they replace."""
+    docs, own = shield(docs.drop("kept_text", "n_lines", "n_dropped"), "doc_id", "text")
     key = ascii_lower(F.btrim("line", F.lit(STRIPPED)))
     lines = (
         docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
@@ -94,7 +95,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
         joined.withColumn("_lines", split)
         .withColumn("n_lines", F.size("_lines"))
         .withColumn("kept_text", F.when(F.col("drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")))
-        .select(*[docs[c] for c in docs.columns], "kept_text", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+        .select(*own, "kept_text", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
     )
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantscope.llm.common import cut
+from grantscope.llm.common import cut, shield
 
 #: Fixed values of the contract: weights, the share of all words to take, and the most of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -98,12 +98,14 @@ def query(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: `docs` in training order, a row for each pass that takes words of a document.
 
-    words is what the pass takes of it (the last pass may end inside a document), position its training time.
+    words is what the pass takes of it (the last pass may end inside a document), position its training time;
+    pass, words and position replace columns of these names. Repeated rows share the passes of the first.
     """
+    docs, own = shield(docs.drop("pass", "words", "position"), "doc_id", "text", "source")
     lean = F.col("lean")
     due = F.col("start") / F.col("target")
     root = (F.sqrt((1 - lean) * (1 - lean) + 4 * lean * due) - (1 - lean)) / (2 * lean)
     plan = mix(docs.select("doc_id", "text", "source")).filter("taken > 0").filter("copy = 0").select(F.col("doc_id").alias("m_id"), F.col("_h").alias("m_h"), "size", "taken", "target", "lean", F.posexplode("starts").alias("pass", "start"))
-    plan = plan.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))).withColumn("position", root)
+    plan = plan.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))).withColumn("position", F.greatest(F.lit(0.0), root))
     joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.xxhash64("doc_id", "text") == F.col("m_h")))
-    return joined.orderBy("position", "doc_id", "pass").select(*[docs[c] for c in docs.columns], "pass", "words", "position")
+    return joined.orderBy("position", "doc_id", "pass").select(*own, "pass", "words", "position")

@@ -161,7 +161,7 @@ class Scorer:
         if self.model.weights is None:
             return np.zeros(len(texts))
         a, b = self.model.calibration
-        return 1 / (1 + np.exp(-np.clip(a * self.values([read(t) for t in texts]) + b, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(a * self.values([read(t) for t in texts]) + b, -30, 30))), 9)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
