@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantscope.llm.common import components, cut, groups
+from grantscope.llm.common import Leaders, components, cut, groups
 
 TABLES, HASHES, PROBES, BLOCK = 10, 2, 3, 512
 #: Fixed value of the contract: cosine from which vectors of a label are linked.
@@ -106,24 +106,13 @@ def _lead(link: float):
     loose = np.cos(np.radians(CORE_DEGREES) + np.arccos(link)) - 1e-9
 
     def run(frames):
-        key, ids, vectors, stacked = None, [], [], None
+        bucket = None
         for f in frames:
             out = []
-            for k, node, v in zip(f["key"], f["id"], f["unit"]):
-                if k != key:
-                    key, ids, vectors, stacked = k, [node], [v], None
-                    continue
-                if len(v) != len(vectors[0]):
-                    continue
-                if stacked is None or len(stacked) != len(vectors):
-                    stacked = np.array(vectors)
-                near = stacked @ v
-                sure = np.flatnonzero(near >= core)
-                last = sure[0] + 1 if len(sure) else len(near)
-                out += [(node, ids[i]) for i in np.flatnonzero(near[:last] >= loose)]
-                if not len(sure):
-                    ids.append(node)
-                    vectors.append(v)
+            for key, node, v in zip(f["key"], f["id"], f["unit"]):
+                if bucket is None or bucket.key != key or bucket.width != len(v):
+                    bucket = Leaders(key, len(v))
+                out += bucket.join(node, v, lambda one, many: many @ one, loose, core)
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run

@@ -18,9 +18,8 @@ one shingle, the whole sequence. Rows sharing a doc_id are one node of the graph
 gets component_id null and is kept. Repeated rows get the same result each; extra columns stay.
 """
 
-from __future__ import annotations
-
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantscope.llm.common import LOWER, UPPER, components, cut, groups, small
+from grantscope.llm.common import LOWER, UPPER, Leaders, components, cut, groups, shield, small
 
 PERMS, BANDS, ROWS, BITS = 128, 20, 4, 4
 #: Estimates under LOOSE can't belong to one cluster, those over CORE surely do; see step 2. MAYBE: worth an exact look.
@@ -99,47 +98,39 @@ def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (equal / PERMS - chance) / (1 - chance)
 
 
+SKETCH = "n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>"
+
+
 def _sketch(words: int):
-    def run(frames):
+    @F.pandas_udf(SKETCH)
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = Words()
-        for f in frames:
+        for texts in batches:
             rows = []
-            for doc_id, text in zip(f["doc_id"], f["text"]):
+            for text in texts:
                 own = shingles(text, words, known)
                 if len(own):
                     least = minima(own)
                     mixed = own * _MIX
                     bands = [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))]
-                    rows.append((doc_id, len(own), int(np.bitwise_xor.reduce(mixed ^ (mixed >> np.uint64(29))).view(np.int64)), int(own.sum(dtype=np.uint64).view(np.int64)), np.array(bands, np.uint64).view(np.int64), pack(least).view(np.int64)))
+                    rows.append((len(own), int(np.bitwise_xor.reduce(mixed ^ (mixed >> np.uint64(29))).view(np.int64)), int(own.sum(dtype=np.uint64).view(np.int64)), np.array(bands, np.uint64).view(np.int64), pack(least).view(np.int64)))
                 else:
-                    rows.append((doc_id, 0, 0, 0, np.empty(0, np.int64), np.empty(0, np.int64)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "s1", "s2", "bands", "sig"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    rows.append((0, 0, 0, np.empty(0, np.int64), np.empty(0, np.int64)))
+            yield pd.DataFrame(rows, columns=["n_shingles", "s1", "s2", "bands", "sig"])
 
-    return run
+    return sketched
 
 
 def _lead(frames):
     """Edges of each bucket to its leaders (step 2). Holds the leaders only."""
-    ids, sigs, key, stacked = [], [], None, None
+    bucket = None
     for f in frames:
         out = []
-        keys, nodes = f["key"].to_numpy(), f["id"].to_numpy()
         packed = np.stack(f["sig"].to_numpy()).view(np.uint64) if len(f) else []
-        for k, node, sig in zip(keys, nodes, packed):
-            if k != key:
-                key, ids, sigs, stacked = k, [node], [sig], None
-                continue
-            if stacked is None or len(stacked) != len(sigs):
-                stacked = np.array(sigs)
-            near = estimate(sig, stacked)
-            core = np.flatnonzero(near >= CORE)
-            last = core[0] + 1 if len(core) else len(near)
-            out += [(node, ids[i]) for i in np.flatnonzero(near[:last] >= LOOSE)]
-            if not len(core):
-                ids.append(node)
-                sigs.append(sig)
+        for key, node, sig in zip(f["key"].to_numpy(), f["id"].to_numpy(), packed):
+            if bucket is None or bucket.key != key:
+                bucket = Leaders(key)
+            out += bucket.join(node, sig, estimate, LOOSE, CORE)
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -188,7 +179,7 @@ def _confirm(percent: int):
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) per row of `docs`, and (m_id, component_id) per doc_id with words. Links: Jaccard >= percent / 100."""
-    sketch = cut(docs.select("doc_id", "text").mapInPandas(_sketch(words), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>"), "sketch")
+    sketch = cut(docs.select("doc_id", _sketch(words)("text").alias("k")).select("doc_id", "k.*"), "sketch")
     filled = sketch.filter("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"))
     member = cut(filled.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "id").distinct(), "members")
@@ -224,10 +215,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
 
 
 def mark_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with component_id and kept."""
-    _, named = near_duplicates(docs, words, percent)
-    joined = docs.join(named, F.col("doc_id") == F.col("m_id"), "left")
-    return joined.select(*[docs[c] for c in docs.columns], F.coalesce("component_id", docs["doc_id"]).alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    """`docs` with component_id and kept, which replace columns of these names."""
+    safe, own = shield(docs.drop("component_id", "kept"), "doc_id", "text")
+    _, named = near_duplicates(safe, words, percent)
+    joined = safe.join(named, F.col("doc_id") == F.col("m_id"), "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return joined.select(*own, "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
 def query(docs: DataFrame) -> DataFrame:
