@@ -25,9 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantscope.llm.common import fold_of
+from grantscope.llm.common import fold_of, shield
 
-DIM, NONZERO, HIDDEN, SAMPLE, CONTEXT_WORDS, CACHED = 64, 4, 32, 6_000, 20_000, 150_000
+DIM, NONZERO, HIDDEN, SAMPLE, CONTEXT_WORDS, CACHED, PIECE = 64, 4, 32, 6_000, 20_000, 200_000, 8_192
 #: Fixed value of the contract: the score from which a document is predicted good.
 THRESHOLD = 0.3
 TOKEN = re.compile(r"\S+")
@@ -44,70 +44,93 @@ def _gram_vector(gram: str) -> np.ndarray:
     return out
 
 
+class Grams(dict):
+    """trigram -> row of a matrix of index vectors, made once while they fit."""
+
+    def __init__(self):
+        self.matrix = np.zeros((4096, DIM), np.float32)
+
+    def __missing__(self, gram: str) -> int:
+        i = len(self)
+        if i == len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[i] = _gram_vector(gram)
+        self[gram] = i
+        return i
+
+
 class Vectors:
-    """word -> row of a matrix of unit vectors; rows are made once while they fit."""
+    """word -> row of a matrix of unit vectors, made once while they fit. A very long word is read whole."""
 
     def __init__(self, context: dict[str, np.ndarray] | None = None):
-        self.context, self.grams = context or {}, {}
+        self.context, self.grams = context or {}, Grams()
         self._clear()
 
     def _clear(self):
         self.row, self.matrix = {}, np.zeros((4096, DIM), np.float32)
 
-    def index_vector(self, word: str) -> np.ndarray:
-        # a very long word is read whole, as the sum of its trigrams
-        padded = f"^{word}$"
-        out = np.zeros(DIM, np.float32)
-        for i in range(len(padded) - 2):
-            gram = padded[i : i + 3]
-            found = self.grams.get(gram)
-            if found is None:
-                if len(self.grams) >= CACHED:
-                    self.grams.clear()
-                self.grams[gram] = found = _gram_vector(gram)
-            out += found
-        return out / max(float(np.sqrt(out @ out)), 1e-6)
+    def _add(self, new: list[str]) -> None:
+        if len(self.grams) > CACHED:
+            self.grams = Grams()
+        ids, sizes = [], []
+        for w in new:
+            padded = f"^{w}$"
+            ids += [self.grams[padded[i : i + 3]] for i in range(len(w))]
+            sizes.append(len(w))
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        own = _unit(np.add.reduceat(self.grams.matrix[ids], starts, axis=0))
+        if self.context:
+            known = [i for i, w in enumerate(new) if w in self.context]
+            if known:
+                own[known] = _unit(own[known] + np.stack([self.context[new[i]] for i in known]))
+        first = len(self.row)
+        while first + len(new) > len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[first : first + len(new)] = own
+        self.row.update(zip(new, range(first, first + len(new))))
 
     def rows(self, words: list[str]) -> np.ndarray:
         if len(self.row) > CACHED:
             self._clear()
-        get, out = self.row.get, []
-        for w in words:
-            i = get(w)
-            if i is None:
-                i = len(self.row)
-                if i == len(self.matrix):
-                    self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-                own = self.index_vector(w)
-                more = self.context.get(w)
-                if more is not None:
-                    own = own + more
-                    own = own / max(float(np.sqrt(own @ own)), 1e-6)
-                self.matrix[i] = own
-                self.row[w] = i
-            out.append(i)
-        return np.array(out, np.int64)
-
-    def pooled(self, text: str | None) -> np.ndarray:
-        out = np.zeros(POOLED, np.float32)
-        words = TOKEN.findall(text) if text else []
-        if not words:
-            return out
-        total, squares, alike = np.zeros(DIM), np.zeros(DIM), 0.0
-        last = None
-        for a in range(0, len(words), 4096):  # a long document is pooled piece by piece
-            ids = self.rows(words[a : a + 4096])
-            own = self.matrix[ids]
-            total += own.sum(axis=0)
-            squares += np.einsum("ij,ij->j", own, own)
-            alike += float((own[1:] * own[:-1]).sum()) + (float(own[0] @ last) if last is not None else 0.0)
-            last = own[-1]
-        n = len(words)
-        mean = total / n
-        out[:DIM] = mean
-        out[DIM : 2 * DIM] = np.sqrt(np.maximum(squares / n - mean**2, 0))
-        out[2 * DIM :] = (alike / max(n - 1, 1), float(np.sqrt(mean @ mean)), np.log1p(n) / 10, len(text) / n / 20 if len(text) < 200 * n else 10)
-        return out
+        new = [w for w in dict.fromkeys(words) if w not in self.row]
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+
+    def pooled(self, texts) -> np.ndarray:
+        """One row per text: mean and spread of its words' vectors, likeness of neighbours, length."""
+        words = [TOKEN.findall(t) if t else [] for t in texts]
+        n = np.array([len(w) for w in words], np.float64)
+        total, squares, alike = np.zeros((len(words), DIM)), np.zeros((len(words), DIM)), np.zeros(len(words))
+        # pieces of documents, gathered to some thousand words at a time: long ones in many pieces, short ones together
+        pieces = [(i, w[a : a + PIECE]) for i, w in enumerate(words) for a in range(0, len(w), PIECE)]
+        while pieces:
+            some, size = [], 0
+            while pieces and (not some or size + len(pieces[-1][1]) <= PIECE):
+                some.append(pieces.pop())
+                size += len(some[-1][1])
+            at = np.array([i for i, _ in some])
+            own = self.matrix_of([w for _, piece in some for w in piece])
+            starts = np.concatenate([[0], np.cumsum([len(piece) for _, piece in some])[:-1]])
+            np.add.at(total, at, np.add.reduceat(own, starts, axis=0))
+            np.add.at(squares, at, np.add.reduceat(own * own, starts, axis=0))
+            near = np.zeros(len(own), np.float32)
+            near[1:] = np.einsum("ij,ij->i", own[1:], own[:-1])
+            near[starts] = 0
+            np.add.at(alike, at, np.add.reduceat(near, starts))
+        count = np.maximum(n, 1)
+        mean = total / count[:, None]
+        chars = np.array([len(t) if t else 0 for t in texts], np.float64)
+        tail = (alike / np.maximum(n - 1, 1), np.sqrt((mean**2).sum(axis=1)), np.log1p(n) / 10, np.minimum(chars / count / 20, 10) * (n > 0))
+        return np.column_stack([mean, np.sqrt(np.maximum(squares / count[:, None] - mean**2, 0)), *tail]).astype(np.float32)
+
+    def matrix_of(self, words: list[str]) -> np.ndarray:
+        ids = self.rows(words)
+        return self.matrix[ids]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-6)[:, None]
 
 
 @dataclass
@@ -124,7 +147,8 @@ class Model:
     def score(self, pooled: np.ndarray) -> np.ndarray:
         if self.layers is None:
             return np.full(len(pooled), 0.5)
-        return 1 / (1 + np.exp(-np.clip(self.logit(pooled) / self.temperature, -30, 30)))
+        # rounded, so that batches of another size give the same score
+        return np.round(1 / (1 + np.exp(-np.clip(self.logit(pooled) / self.temperature, -30, 30))), 9)
 
     def logit(self, pooled: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -179,8 +203,7 @@ def _contexts(frames):
                 continue
             for a in range(0, len(words), 4096):
                 own = words[max(0, a - 1) : a + 4096]
-                ids = vectors.rows(own)
-                at = vectors.matrix[ids]
+                at = vectors.matrix_of(own)
                 near = np.zeros_like(at)
                 near[1:] += at[:-1]
                 near[:-1] += at[1:]
@@ -198,7 +221,7 @@ def _pool(model_context):
     def run(frames):
         vectors = Vectors(model_context.value)
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "label": f["label"], "pooled": [vectors.pooled(t) for t in f["text"]]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "label": f["label"], "pooled": list(vectors.pooled(f["text"]))})
 
     return run
 
@@ -232,7 +255,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vectors = _vectors_of(shared.value)
         for texts in batches:
-            yield pd.Series(shared.value.score(np.stack([vectors.pooled(t) for t in texts])) if len(texts) else np.zeros(0))
+            yield pd.Series(shared.value.score(vectors.pooled(texts)) if len(texts) else np.zeros(0))
 
     return docs.withColumn("quality_score", scored("text"))
 
@@ -255,4 +278,5 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the rows scored under `threshold`."""
-    return score(docs, fit(docs, labels)).filter(F.col("quality_score") >= threshold).drop("quality_score")
+    safe, own = shield(docs, "doc_id", "text")
+    return score(safe, fit(safe, labels)).filter(F.col("quality_score") >= threshold).select(*own)
