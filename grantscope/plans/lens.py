@@ -2,6 +2,9 @@
 
 The reading is a device for running the operators over large tables; it says nothing about the tables
 themselves. Suppliers are agents, the parts they ship their tools, customers the servers they are bound to.
+No row is left out: every (supplier, part) pair is a tool, every lineitem a grant, every supplier has a policy.
+A tool's resource and destination are attributes of the pair and may be null; a null one is no fact, and the
+tool stays with that dimension unresolved. Roles and permissions are fine enough that an agent's sets differ.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ SELECT l_suppkey AS agent_key, 'tool-' || CAST(l_partkey AS STRING) AS name,
   CASE min(l_linenumber) % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END AS approval, min(l_returnflag) = 'A' AS guardrails,
   CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 'sa-' || CAST(l_partkey % 5 AS STRING) END AS identity,
   CASE l_partkey % 6 WHEN 0 THEN 'fixed_managed_service' WHEN 1 THEN 'explicit_destination' ELSE NULL END AS network_scope
-FROM lineitem WHERE l_quantity >= 40 GROUP BY l_suppkey, l_partkey""",
+FROM lineitem GROUP BY l_suppkey, l_partkey""",
     "identities": """
 SELECT s_suppkey AS agent_key, 'sa-' || CAST(k AS STRING) AS name, 'gcp' AS provider,
   CASE (s_suppkey + k) % 4 WHEN 0 THEN 'roles/owner' WHEN 1 THEN 'roles/storage.objectViewer,roles/bigquery.dataViewer' WHEN 2 THEN 'roles/bigquery.dataEditor' ELSE '' END AS roles,
@@ -37,15 +40,15 @@ SELECT s_suppkey AS agent_key, 'sa-' || CAST(k AS STRING) AS name, 'gcp' AS prov
   CASE (s_suppkey + k) % 6 WHEN 0 THEN 'hardcoded' WHEN 1 THEN NULL ELSE 'env' END AS credential_source
 FROM supplier, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) n""",
     "resources": """
-SELECT l_suppkey AS agent_key, 'tool-' || CAST(l_partkey AS STRING) AS owner_name,
-  CASE l_partkey % 5 WHEN 0 THEN '*' WHEN 1 THEN 'bucket/' || CAST(l_partkey % 40 AS STRING) WHEN 2 THEN 'db/orders' WHEN 3 THEN '/' ELSE 'queue/' || CAST(l_partkey % 7 AS STRING) END AS selector,
+SELECT * FROM (SELECT l_suppkey AS agent_key, 'tool-' || CAST(l_partkey AS STRING) AS owner_name,
+  CASE WHEN min(l_orderkey) % 3 = 0 THEN NULL ELSE CASE l_partkey % 5 WHEN 0 THEN '*' WHEN 1 THEN 'bucket/' || CAST(l_partkey % 40 AS STRING) WHEN 2 THEN 'db/orders' WHEN 3 THEN '/' ELSE 'queue/' || CAST(l_partkey % 7 AS STRING) END END AS selector,
   CASE l_partkey % 6 WHEN 0 THEN 'confidential' WHEN 1 THEN 'restricted' ELSE 'internal' END AS classification
-FROM lineitem WHERE l_quantity >= 44 GROUP BY l_suppkey, l_partkey""",
+FROM lineitem GROUP BY l_suppkey, l_partkey) t WHERE selector IS NOT NULL""",
     "destinations": """
-SELECT l_suppkey AS agent_key, 'tool-' || CAST(l_partkey AS STRING) AS owner_name,
-  CASE l_partkey % 6 WHEN 0 THEN '*' WHEN 1 THEN 'api.example.com' WHEN 2 THEN '*.corp.internal' WHEN 3 THEN 'https://Files.Example.com/x' WHEN 4 THEN '0.0.0.0/0' ELSE 'db.internal' END AS target,
+SELECT * FROM (SELECT l_suppkey AS agent_key, 'tool-' || CAST(l_partkey AS STRING) AS owner_name,
+  CASE WHEN min(l_orderkey) % 4 = 0 THEN NULL ELSE CASE l_partkey % 6 WHEN 0 THEN '*' WHEN 1 THEN 'api.example.com' WHEN 2 THEN '*.corp.internal' WHEN 3 THEN 'https://Files.Example.com/x' WHEN 4 THEN '0.0.0.0/0' ELSE 'db.internal' END END AS target,
   l_partkey % 3 <> 0 AS restricted
-FROM lineitem WHERE l_quantity >= 46 GROUP BY l_suppkey, l_partkey""",
+FROM lineitem GROUP BY l_suppkey, l_partkey) t WHERE target IS NOT NULL""",
     "mcp_servers": """
 SELECT c_custkey % (SELECT count(*) FROM supplier) + 1 AS agent_key, 'mcp-' || CAST(c_custkey AS STRING) AS name,
   CASE c_custkey % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'stdio' ELSE 'sse' END AS transport,
@@ -64,7 +67,7 @@ FROM supplier""",
 SELECT s_suppkey AS agent_key, CASE s_suppkey % 3 WHEN 0 THEN 'data.read,network.external' ELSE '' END AS required, CASE s_suppkey % 4 WHEN 0 THEN 'process.execute,identity.admin' ELSE '' END AS denied,
   CASE s_suppkey % 2 WHEN 0 THEN 'bucket/*,db/?rders' ELSE '' END AS allowed_resources, CASE s_suppkey % 5 WHEN 0 THEN '*.internal,api.*' ELSE '' END AS allowed_destinations,
   CASE s_suppkey % 3 WHEN 1 THEN 'process.execute,external.write' ELSE '' END AS require_approval_for, CASE WHEN s_suppkey % 6 = 0 THEN 2 ELSE NULL END AS max_privileged
-FROM supplier WHERE s_suppkey % 10 <> 9""",
+FROM supplier""",
     "clauses": """
 SELECT s_suppkey AS agent_key, m AS mode, d AS dimension, p AS pattern FROM supplier, (
   SELECT 0 AS k, 'allow' AS m, 'capabilities' AS d, 'data.*' AS p UNION ALL SELECT 0, 'allow', 'capabilities', 'network.external' UNION ALL SELECT 1, 'deny', 'capabilities', 'process.*'
@@ -72,8 +75,8 @@ SELECT s_suppkey AS agent_key, m AS mode, d AS dimension, p AS pattern FROM supp
   UNION ALL SELECT 0, 'deny', 'iam_roles', 'roles/[op]*' UNION ALL SELECT 1, 'allow', 'permissions', 'storage.objects.*' UNION ALL SELECT 2, 'allow', 'identities', 'sa-[0-2]' UNION ALL SELECT 0, 'deny', 'oauth_scopes', '*drive') c
 WHERE s_suppkey % 3 = k""",
     "grants": """
-SELECT l_suppkey AS agent_key, 'roles/' || p_brand AS role, 'perm.' || p_type AS permission, l_returnflag = 'R' AS conditional, l_linestatus = 'F' AS required, l_shipdate < TIMESTAMP '1995-06-17 00:00:00' AS base
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49""",
+SELECT l_suppkey AS agent_key, 'roles/' || p_brand || '/' || CAST(p_size AS STRING) AS role, 'perm.' || p_type || '.' || CAST(p_partkey AS STRING) AS permission, l_returnflag = 'R' AS conditional, l_linestatus = 'F' AS required, l_shipdate < TIMESTAMP '1995-06-17 00:00:00' AS base
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
 }
 #: Columns that hold comma-joined lists.
 LISTS = {"caps", "roles", "permissions", "oauth_scopes", "args", "allowed_tools", "denied_tools", "required", "denied", "allowed_resources", "allowed_destinations", "require_approval_for"}
