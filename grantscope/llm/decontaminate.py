@@ -6,7 +6,7 @@
    the corpus. A posting of that term at an item's offset gives a candidate alignment (document, item, shift).
 3. The lists of the other terms, adjusted by their offsets, are intersected with the candidates: the expected
    postings of an alignment are semi-joined with the index. Runs of `window` matches are exact phrases;
-   windows with at least `near` of their words in place (when asked for) are proximity matches.
+   windows with at least `near` of their words in place are proximity matches (query and drop: NEAR of ten).
 
 Defined results: null or wordless documents have no words and no hits; null or wordless items match nothing.
 Rows sharing doc_id and text share their hits; rows sharing only doc_id are told apart by their text. A null
@@ -23,6 +23,8 @@ from grantscope.llm.common import ascii_lower, cut, sha256_hex, shield, small
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands for a document's end among its terms; no word can hold it.
 END = "\x00"
+#: Fixed value: words of a ten-word window that must be in place for a proximity match.
+NEAR = 8
 #: Sides with at most so many rows may be broadcast (some 20 bytes each); larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -46,10 +48,12 @@ def postings(docs: DataFrame, tokens: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, near: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index, phrases, proximity): phrases are (uid, item, start, end) runs; proximity counts near items by uid.
 
-    An exact window is found by its rarest term. One with `near` of its words in place holds at least one of its
-    window - near + 1 rarest there, so these are all looked up when proximity is asked for.
+    An exact window is found by its rarest term. One with `near` of its words in place holds at least two of its
+    window - near + 2 rarest there, so these are all looked up when proximity is asked for, and only alignments
+    with two of them go on. A window shorter than `window` counts when exact alone, and needs its rarest term.
     """
-    probes = 1 if near is None else window - near + 1
+    need = 1 if near is None or near < 2 else 2
+    probes = 1 if near is None else window - near + need
     near = near or window
     tokens = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.xxhash64("item_id", "text").alias("iid"), F.posexplode(words_of(F.col("text"))).alias("j", "word"))
     tokens = cut(tokens.distinct().withColumn("tid", F.xxhash64("word")), "item-tokens")
@@ -62,13 +66,14 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, near: int | Non
         .withColumn("terms", F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "j", "tid")).over(by_item.orderBy("j").rowsBetween(0, window - 1))))
         .withColumn("w", F.least(F.lit(window), "n"))
         .filter("j <= n - w")
-        .withColumn("rarest", F.explode(F.slice("terms", 1, probes)))
+        .withColumn("rarest", F.explode(F.slice("terms", F.lit(1), F.when(F.col("w") < window, 1).otherwise(probes))))
         .filter("rarest.df > 0")
     )
-    anchors = ranked.groupBy("iid", F.col("rarest.tid").alias("tid"), F.col("rarest.j").alias("a")).agg(F.min("j").alias("lo"), F.max(F.col("j") + F.col("w") - 1).alias("hi"))
+    anchors = ranked.groupBy("iid", F.col("rarest.tid").alias("tid"), F.col("rarest.j").alias("a")).agg(F.min("j").alias("lo"), F.max(F.col("j") + F.col("w") - 1).alias("hi"), F.min(F.when(F.col("w") < window, 1).otherwise(need)).alias("need"))
     anchors = cut(anchors, "anchors")
-    found = index.join(_side(anchors), "tid").select("uid", "iid", (F.col("pos") - F.col("a")).alias("shift"), "lo", "hi")
-    expected = found.select("uid", "iid", "shift", F.explode(F.sequence("lo", "hi")).alias("j")).distinct()
+    found = index.join(_side(anchors), "tid").select("uid", "iid", (F.col("pos") - F.col("a")).alias("shift"), "lo", "hi", "need")
+    aligned = found.groupBy("uid", "iid", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"), F.min("need").alias("need")).filter("n >= need")
+    expected = aligned.select("uid", "iid", "shift", F.explode(F.sequence("lo", "hi")).alias("j"))
     lists = tokens.select("iid", "j", "tid", "item")
     expected = expected.join(_side(lists), ["iid", "j"]).withColumn("pos", F.col("shift") + F.col("j"))
     expected = cut(expected.filter("pos >= 0"), "expected")
@@ -98,14 +103,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, near: int
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:
-    out = contamination(docs, items)
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
+    out = contamination(docs, items, near=NEAR)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated", "n_near")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """`docs` without the rows that hold a benchmark window."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, near: int | None = NEAR) -> DataFrame:
+    """`docs` without the rows that hold a benchmark window, or `near` words of one in their places."""
     safe, own = shield(docs, "doc_id", "text")
-    hit = contamination(safe, items, window).filter("contaminated").select("uid").distinct()
+    hit = contamination(safe, items, window, near).filter("contaminated or n_near > 0").select("uid").distinct()
     return safe.join(hit, F.xxhash64("doc_id", "text") == F.col("uid"), "left_anti").select(*own)
 
 
