@@ -42,50 +42,68 @@ def has(c: str):
     return F.array_contains("caps", c)
 
 
-def tool_rules(fs) -> DataFrame:
-    rows, loose = _tools(fs), ~X.is_true(F.col("approval"))
-    approval = F.concat(F.lit("approval="), F.coalesce(F.col("approval").cast("string"), F.lit("unknown")))
-    tests = {
+def _tool_tests() -> dict:
+    loose = ~X.is_true(F.col("approval"))
+    return {
         "AGT020": has("process.execute") & loose & (F.col("kind") != "delegated_agent"),
         "AGT021": has("destructive.write") & loose,
         "AGT022": has("data.write") & loose & F.col("kind").isin("apply_patch", "generic", "function"),
         "AGT040": X.any_of(F.col("caps"), X.PRIVILEGED) & loose & ~F.col("guardrails") & ~F.col("controlled"),
     }
+
+
+def _broken(tests: dict):
+    return F.array_compact(F.array(*[F.when(t, F.lit(r)) for r, t in tests.items()]))
+
+
+def tool_rules(fs) -> DataFrame:
+    rows = _tools(fs)
+    approval = F.concat(F.lit("approval="), F.coalesce(F.col("approval").cast("string"), F.lit("unknown")))
     # one pass over the tools: the rules a tool breaks, exploded
-    broken = F.array_compact(F.array(*[F.when(t, F.lit(r)) for r, t in tests.items()]))
+    broken = _broken(_tool_tests())
     return rows.select(F.explode(broken).alias("rule_id"), "agent", F.col("target_name").alias("subject"), approval.alias("evidence"))
 
 
+def _framework_tests() -> dict:
+    return {"ADK001": F.col("open"), "ADK011": F.col("exposed")}
+
+
 def framework_rules(fs) -> DataFrame:
     rows = _tools(fs).filter((F.col("framework") == "google-adk") & ~F.col("controlled") & X.any_of(F.col("caps"), X.PRIVILEGED))
     sums = rows.groupBy("agent").agg(F.every(~X.is_true(F.col("approval")) & ~F.col("guardrails")).alias("open"), F.max("a2a_exposed").alias("exposed"), F.count("*").cast("string").alias("n"))
-    each = F.explode(F.array_compact(F.array(F.when(F.col("open"), F.lit("ADK001")), F.when(F.col("exposed"), F.lit("ADK011")))))
+    each = F.explode(_broken(_framework_tests()))
     return sums.select(each.alias("rule_id"), "agent", F.lit("").alias("subject"), F.concat(F.lit("privileged_tools="), "n").alias("evidence"))
 
 
-def server_rules(fs) -> DataFrame:
-    rows = fs.mcp_servers.join(fs.agents.select("agent_key", F.col("name").alias("agent")), "agent_key")
+def _server_tests() -> dict:
     remote = F.coalesce(F.col("url") != "", F.lit(False)) & ~F.coalesce(X.is_loopback(F.col("url")), F.lit(False))
-    tests = {
+    return {
         "AGT001": (F.col("transport") == "stdio") & F.exists("args", X.resource_is_broad),
         "AGT030": remote & X.is_false(F.col("authenticated")),
         "AGT031": remote & F.col("url").startswith("http://"),
         "AGT032": remote & (F.size("allowed_tools") == 0),
         "AGT050": X.package_is_unpinned(F.col("command"), F.col("args")),
     }
-    broken = F.array_compact(F.array(*[F.when(t, F.lit(r)) for r, t in tests.items()]))
-    return rows.select(F.explode(broken).alias("rule_id"), "agent", F.col("name").alias("subject"), F.coalesce("url", "command", F.lit("")).alias("evidence"))
+
+
+def server_rules(fs) -> DataFrame:
+    rows = fs.mcp_servers.join(fs.agents.select("agent_key", F.col("name").alias("agent")), "agent_key")
+    return rows.select(F.explode(_broken(_server_tests())).alias("rule_id"), "agent", F.col("name").alias("subject"), F.coalesce("url", "command", F.lit("")).alias("evidence"))
 
 
 def agent_profile(fs) -> DataFrame:
     """One row per agent: its capabilities, and the flags that the rules on whole agents read."""
-    tools = _tools(fs)
+    # a destination makes a tool's reach known, as does a network that its provider fixes
+    aimed = fs.destinations.select("agent_key", F.col("owner_name").alias("target_name"), F.lit(True).alias("aimed")).distinct()
+    tools = _tools(fs).join(aimed, ["agent_key", "target_name"], "left")
+    fixed = F.coalesce(X.network_semantics(F.col("caps"), F.col("network_scope"), F.lit(0), F.lit(0)) == "fixed_provider_network", F.lit(False))
     loose, outbound = ~X.is_true(F.col("approval")), X.any_of(F.col("caps"), X.OUTBOUND)
     read, write = has("data.read"), X.any_of(F.col("caps"), ("data.write", "destructive.write"))
     secret = has("secrets.read")
     by_tool = tools.groupBy("agent_key").agg(
         F.array_distinct(F.flatten(F.collect_set("caps"))).alias("t_caps"), F.max(loose & outbound).alias("loose_outbound"), F.max(loose & has("process.execute")).alias("loose_exec"), F.max(loose & has("destructive.write")).alias("loose_destroy"),
         F.max(outbound & ~F.coalesce(F.col("network_scope") == "fixed_managed_service", F.lit(False))).alias("free_outbound"), F.max(outbound).alias("outbound"), F.max(read).alias("reads"), F.max(write).alias("writes"), F.max(secret).alias("secrets"),
+        F.collect_set(F.when(outbound & F.col("aimed").isNull() & ~fixed, X.stable_id("authority-v1:", F.col("agent"), F.lit("tool"), F.col("target_name")))).alias("open_outbound"),
     )
     by_server = fs.mcp_servers.groupBy("agent_key").agg(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("url") != "", X.strings(("mcp.remote", "network.external"))).otherwise(X.strings(("mcp.local",)))))).alias("s_caps"))
     held = fs.resources.join(fs.tools.select("agent_key", F.col("name").alias("owner_name"), "caps"), ["agent_key", "owner_name"])
@@ -98,20 +116,20 @@ def agent_profile(fs) -> DataFrame:
     none = F.array().cast("array<string>")
     caps = X.sorted_set(F.concat(F.coalesce("t_caps", none), F.coalesce("s_caps", none)))
     out = out.withColumn("caps", caps)
-    lists, flags = ("selectors", "targets", "required", "denied", "allowed_resources", "allowed_destinations", "require_approval_for"), ("loose_outbound", "loose_exec", "loose_destroy", "free_outbound", "outbound", "reads", "writes", "secrets", "sensitive", "broad", "untrusted")
+    lists, flags = ("open_outbound", "selectors", "targets", "required", "denied", "allowed_resources", "allowed_destinations", "require_approval_for"), ("loose_outbound", "loose_exec", "loose_destroy", "free_outbound", "outbound", "reads", "writes", "secrets", "sensitive", "broad", "untrusted")
     return out.withColumns({c: F.coalesce(c, none) for c in lists} | {c: F.coalesce(c, F.lit(False)) for c in flags})
 
 
-def agent_rules(fs) -> DataFrame:
-    """Capability, data, network and co-occurrence path rules; one pass over the profiles."""
-    rows, c = agent_profile(fs), F.col
+def _agent_tests() -> dict:
+    """Rule -> (test, evidence), over the profiles."""
+    c = F.col
     joined = lambda a: F.array_join(F.array_sort(a), ",")
     privileged, high = F.array_intersect("caps", X.strings(X.PRIVILEGED)), F.array_intersect("caps", X.strings(X.HIGH_RISK))
     outside = lambda values, patterns: F.filter(values, lambda v: ~F.exists(patterns, lambda p: F.regexp_like(v, X.glob_column(p))))
     extra, banned = F.array_except("caps", "required"), F.array_intersect("caps", "denied")
     far, strange = outside("selectors", c("allowed_resources")), outside("targets", c("allowed_destinations"))
     outbound = X.any_of(c("caps"), X.OUTBOUND)
-    tests = {
+    return {
         "CAP001": ((F.size("required") > 0) & (F.size(extra) > 0), joined(extra)),
         "CAP002": (F.size(banned) > 0, joined(banned)),
         "CAP003": (F.size(privileged) > F.coalesce("max_privileged", F.lit(3)), joined(privileged)),
@@ -121,6 +139,7 @@ def agent_rules(fs) -> DataFrame:
         "DATA002": ((F.size("allowed_resources") > 0) & (F.size(far) > 0), joined(far)),
         "DATA003": (c("sensitive") & (c("broad") | (outbound & (F.size("targets") == 0) & c("free_outbound"))), F.lit("")),
         "NET001": (c("broad"), F.lit("")),
+        "NET002": (~c("broad") & (F.size("open_outbound") > 0), F.concat(F.lit("capabilities="), joined(F.array_intersect("caps", X.strings(X.OUTBOUND))), F.lit(";authority_relationship="), joined("open_outbound"))),
         "NET003": ((F.size("allowed_destinations") > 0) & (F.size(strange) > 0), joined(strange)),
         "AGT010": (c("sensitive") & outbound & c("loose_outbound"), F.lit("")),
         "PATH001": (c("untrusted") & c("loose_exec"), F.lit("")),
@@ -130,7 +149,12 @@ def agent_rules(fs) -> DataFrame:
         "PATH005": (c("untrusted") & c("secrets") & c("free_outbound"), F.lit("")),
         "PATH006": (c("untrusted") & (F.size(high) >= 2), joined(high)),
     }
-    broken = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(r).alias("rule_id"), e.alias("evidence"))) for r, (t, e) in tests.items()]))
+
+
+def agent_rules(fs) -> DataFrame:
+    """Capability, data, network and co-occurrence path rules; one pass over the profiles."""
+    rows = agent_profile(fs)
+    broken = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(r).alias("rule_id"), e.alias("evidence"))) for r, (t, e) in _agent_tests().items()]))
     return rows.select("agent", F.explode(broken).alias("x")).select("x.rule_id", "agent", F.lit("").alias("subject"), "x.evidence")
 
 
@@ -141,14 +165,21 @@ def approval_rules(fs) -> DataFrame:
     return rows.join(need, ["agent_key", "cap"]).select(F.lit("CAP006").alias("rule_id"), "agent", F.col("cap").alias("subject"), F.lit("").alias("evidence")).distinct()
 
 
-def identity_rules(fs) -> DataFrame:
-    rows = fs.identities.join(fs.agents.select("agent_key", F.col("name").alias("agent")), "agent_key")
-    tests = {
+def _identity_tests() -> dict:
+    return {
         "IDN001": F.exists("roles", X.role_looks_admin), "IDN002": F.exists("permissions", X.permission_is_wildcard),
         "IDN003": X.any_of(F.col("oauth_scopes"), X.BROAD_OAUTH), "IDN004": F.col("credential_source").isin("hardcoded", "source", "plaintext", "file"),
     }
-    broken = F.array_compact(F.array(*[F.when(t, F.lit(r)) for r, t in tests.items()]))
-    return rows.select(F.explode(broken).alias("rule_id"), "agent", F.col("name").alias("subject"), F.lit("").alias("evidence")).distinct()
+
+
+def identity_rules(fs) -> DataFrame:
+    rows = fs.identities.join(fs.agents.select("agent_key", F.col("name").alias("agent")), "agent_key")
+    return rows.select(F.explode(_broken(_identity_tests())).alias("rule_id"), "agent", F.col("name").alias("subject"), F.lit("").alias("evidence")).distinct()
+
+
+def evaluated() -> list[str]:
+    """The rules that evaluate() runs; REGISTRY also has those that the present facts can't answer."""
+    return sorted({*_tool_tests(), *_framework_tests(), *_server_tests(), *_agent_tests(), "CAP006", *_identity_tests()})
 
 
 def evaluate(fs) -> DataFrame:
@@ -171,7 +202,7 @@ def by_risk(findings: DataFrame) -> DataFrame:
     """Per risk category, all ten: findings, worst severity, rules, agents, status."""
     spark = findings.sparkSession
     taxonomy = spark.createDataFrame([(f"ASI{i:02}", t) for i, t in enumerate(RISKS, 1)], "risk string, title string")
-    assessed = registry(spark).select(F.explode("owasp").alias("risk")).distinct().withColumn("assessed", F.lit(True))
+    assessed = registry(spark).filter(F.col("rule_id").isin(evaluated())).select(F.explode("owasp").alias("risk")).distinct().withColumn("assessed", F.lit(True))
     counts = findings.select("rule_id", "agent", "severity", F.explode("owasp").alias("risk")).groupBy("risk").agg(F.count("*").alias("n"), F.max("severity").alias("worst"), F.countDistinct("rule_id").alias("rules"), F.countDistinct("agent").alias("agents"))
     out = taxonomy.join(counts, "risk", "left").join(F.broadcast(assessed), "risk", "left")
     status = F.when(F.col("n") > 0, "findings").when(F.col("assessed"), "no_mapped_findings").otherwise("not_assessed")

@@ -1,7 +1,10 @@
 """Queries do the whole job: no row of the tables and no rule is left out."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from grantscope.operators import authority, rules
 from grantscope.plans.lens import facts
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +19,21 @@ def test_lens_leaves_no_row_out(spark):
     # what isn't a resource or destination is a null attribute of its pair, by line order alone
     first = lines.groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("k"))
     assert fs.resources.count() == first.filter("k % 3 <> 0").count() and fs.destinations.count() == first.filter("k % 4 <> 0").count()
+
+
+def test_outbound_tools_without_destination_and_assessed_risks(spark):
+    fs = facts(spark, SF)
+    agents = fs.agents.filter("agent_key <= 5")
+    tool = lambda k, n, caps, scope: (k, n, "generic", caps, True, False, None, scope)
+    rows = [tool(1, "a", ["network.external"], None), tool(2, "b", ["network.external"], "fixed_managed_service"), tool(3, "c", ["external.write"], None), tool(4, "d", ["network.external"], None), tool(4, "e", ["external.write"], None), tool(5, "f", ["data.read"], None)]
+    tools = spark.createDataFrame(rows, fs.tools.schema)
+    targets = spark.createDataFrame([(3, "c", "*", True), (4, "d", "api.example.com", True)], fs.destinations.schema)
+    few = replace(fs, agents=agents, tools=tools, destinations=targets, mcp_servers=fs.mcp_servers.limit(0))
+    names = {r.agent_key: r.name for r in agents.collect()}
+    ids = {r.target_name: r.relationship_id for r in authority.tool_relationships(few).collect()}
+    found = {r.agent: r.evidence for r in rules.agent_rules(few).filter("rule_id = 'NET002'").collect()}
+    assert found == {names[1]: f"capabilities=network.external;authority_relationship={ids['a']}", names[4]: f"capabilities=external.write,network.external;authority_relationship={ids['e']}"}
+    everything = {r[0] for r in rules.REGISTRY}
+    assert everything - set(rules.evaluated()) == {"AGT023", *[f"ADK{i:03}" for i in (*range(2, 11), 12)], "PATH007"} and set(rules.evaluated()) <= everything
+    status = {r.risk: r.status for r in rules.by_risk(rules.evaluate(few)).collect()}
+    assert status["ASI06"] == status["ASI10"] == "not_assessed" and status["ASI04"] == "no_mapped_findings"
