@@ -17,6 +17,7 @@ GCP_RESOURCES = ("google_project_iam_member", "google_project_iam_binding", "goo
 AZURE_RESOURCES = ("azurerm_role_assignment",)
 AWS_RESOURCES = ("aws_iam_role_policy", "aws_iam_policy", "aws_iam_user_policy")
 MAX_BYTES = 5 * 1024 * 1024
+MAX_NOTEBOOK_BYTES = 25 * 1024 * 1024
 
 _SERVER = "struct<url:string,serverUrl:string,command:string,args:array<string>,headers:map<string,string>,authorization:string,oauth:string,token:string,transport:string,allowedTools:array<string>,allowed_tools:array<string>,deniedTools:array<string>,denied_tools:array<string>>"
 _CONFIG = f"struct<mcpServers:map<string,{_SERVER}>,servers:map<string,{_SERVER}>>"
@@ -32,7 +33,8 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     text = F.decode("content", "UTF-8")
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    why = F.when(F.col("length") > MAX_BYTES, "file_too_large").when(~valid, "decode_error")
+    limit = F.when(F.lower("path").endswith(".ipynb"), MAX_NOTEBOOK_BYTES).otherwise(MAX_BYTES)
+    why = F.when(F.col("length") > limit, "file_too_large").when(~valid, "decode_error")
     return files.select("path", why.alias("diagnostic"), F.when(why.isNull(), text).alias("text"))
 
 
