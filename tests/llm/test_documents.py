@@ -119,7 +119,7 @@ def test_personal_data(docs, none, spark):
     base = f"email:{at('joe.doe@mail.example.com')},ip:{at('10.20.30.40')},card:{at('4398 8742 4622 1956')},phone:{at('+1 (456) 555-2186')}"
     assert found[11].base_sha256 == sha(base) and found[4].base_sha256 == sha("")
     assert pii.query(none).count() == 0 and pii.query(docs).count() == len(TEXTS)
-    shaped = [(i, f"note {i} please call +1 (45{i}) 555-218{i} soon") for i in range(8)] + [(90, "please call 0451 555 2199 now"), (91, "version 2.0 of it")]
+    shaped = [(i, f"note please call +1 (45{i}) 555-218{i} soon") for i in range(8)] + [(90, "please call 0451 555 2199 now"), (91, "version 2.0 of it")]
     rows = {r.doc_id: r for r in pii.query(spark.createDataFrame(shaped, "doc_id long, text string")).collect()}
     assert rows[90].spans == "phone:12:25" and rows[90].n_phone == 0 and rows[91].spans == ""
 
@@ -138,19 +138,3 @@ def test_secrets(docs, none):
     assert found[12].base_sha256 == sha(base) and (found[12].n_assign, found[12].n_access, found[12].n_hex) == (1, 1, 1)
     assert found[15].spans == "entropy:0:20" and found[13].spans == "" and found[4].spans == ""
     assert secrets.query(none).count() == 0
-
-
-def test_window_entropy(spark):
-    import math
-    from collections import Counter
-
-    values = ["abcdefghijklmnopqrstuvwxyz012345", "aaaaaaaaaaaaaaaaaaaaaaab", "k9Zq3VtB7xLm2PwR8sYdk9Zq", "short"]
-    want = []
-    for v in values:
-        w = min(20, len(v))
-        want.append(max(-sum(c / w * math.log2(c / w) for c in Counter(v[i : i + w]).values()) for i in range(len(v) - w + 1)))
-    rows = spark.createDataFrame([(v,) for v in values], "v string")
-    from pyspark.sql import functions as F
-
-    got = [r.e for r in rows.select(secrets.window_entropy(F.col("v")).alias("e")).collect()]
-    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
