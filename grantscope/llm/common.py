@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,58 +106,34 @@ def groups(frames, keys: list[str]):
         yield held_key, pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
-class Leaders:
-    """The leaders of one bucket, as its members stream by; join() gives the edges that tie a member in.
-
-    A member is tied to each leader it is `loose`ly near, and stops at one it is surely (`core`) near; with none of
-    these it leads too. Leaders that members have tied together count as one, so a bucket of m members has m - 1
-    edges at most.
-    """
-
-    def __init__(self, key, width: int | None = None):
-        self.key, self.width, self.ids, self.marks, self.trees = key, width, [], None, []
-
-    def join(self, node, mark, likeness, loose: float, core: float) -> list[tuple]:
-        import numpy as np
-
-        if not self.ids:
-            self.ids, self.marks, self.trees = [node], mark[None].copy(), np.zeros(1, np.int64)
-            return []
-        near = likeness(mark, self.marks[: len(self.ids)])
-        sure = np.flatnonzero(near >= core)
-        last = sure[0] + 1 if len(sure) else len(near)
-        tied = np.flatnonzero(near[:last] >= loose)
-        trees, first = np.unique(self.trees[tied], return_index=True)
-        if len(trees) > 1:
-            self.trees[np.isin(self.trees, trees)] = trees[0]
-        if not len(sure):
-            if len(self.ids) == len(self.marks):
-                self.marks = np.concatenate([self.marks, np.empty_like(self.marks)])
-            self.marks[len(self.ids)] = mark
-            self.ids.append(node)
-            self.trees = np.append(self.trees, trees[0] if len(trees) else len(self.ids))
-        return [(node, self.ids[tied[i]]) for i in first]
+def _tied(edges: DataFrame, parts: int = 32) -> DataFrame:
+    """(u, v, m) for edges (u, v): m is the least v of u. A node of many edges is dealt over `parts` tasks."""
+    salted = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(parts)))
+    least = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
+    # at most `parts` rows a node
+    least = least.withColumn("m", F.min("m").over(Window.partitionBy("u")))
+    return salted.join(least, ["u", "s"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame, label: str, rounds: int = 40) -> DataFrame:
     """(node, component): smallest node reachable over undirected `edges` (a, b longs), for nodes with an edge.
 
     Alternates large-star and small-star steps; each ends in a written table, and no group of edges is
-    collected: the minimum of a neighbourhood is a partial aggregate, joined back with skew handling.
+    collected: the minimum of a neighbourhood is a partial aggregate, joined back by node and salt.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), label)
     for _ in range(rounds):
+        # settled: every node has one parent, and no parent has one
+        parents = edges.groupBy("u").agg(F.count("*").alias("n"))
+        if parents.filter("n > 1").isEmpty() and edges.join(parents.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lows, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = _tied(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # small star: link every smaller neighbour, and the node itself, to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_star = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        tied = _tied(large)
+        small_star = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tied.select("u", F.col("m").alias("v")))
         edges = cut(small_star.filter("u <> v").distinct(), label)
-        # settled: every node has one parent, and no parent has one
-        state = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d")).first()
-        if state.n == state.d and edges.join(edges.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty():
-            break
     else:
         raise RuntimeError(f"{label}: components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
