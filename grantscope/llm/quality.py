@@ -2,132 +2,134 @@
 
 A word's index vector is the sum of the sparse ternary vectors of its character trigrams (each derived from a
 hash, so any word has one). Its context vector adds the index vectors of its neighbours wherever the fitting
-sample uses it (random indexing proper); a word never met there keeps its index vector alone. A document is
-pooled over all its words: mean, spread, and how like each word is to the next. A two-layer numpy network
+sample uses it (random indexing proper). The model holds the context vectors of the `CONTEXT_WORDS` words that the
+sample uses most, of those it uses LEAST_USES times or more; any other word keeps its index vector alone. A document
+is pooled over all its words: mean, spread, and how like each word is to the next. A two-layer numpy network
 reads the pooled vector, and a temperature fitted on rows set apart from the sample calibrates its output.
 
 Fitting takes at most `sample` labelled rows, those with the smallest hash of doc_id; their words are pooled on
-the executors and only pooled vectors reach the driver. Everything else reads every word of every document.
+the executors and only pooled vectors and the context vectors reach the driver. Rows are set apart for the
+temperature from `APART` labelled rows on; fewer fit it too. Everything else reads every word of every document.
 
 Defined results: null, empty or wordless text pools to zeros and is scored like any other. Rows without a label
-of 0 or 1 aren't learned from; without both labels the score is 0.5. Repeated rows get equal scores; labels for
-one doc_id that disagree all count. Extra columns stay.
+of 0 or 1 aren't learned from; without both labels the score is 0.5. Repeated rows get equal scores; of rows that
+share a labelled doc_id the one with the least text is learned from; labels for one doc_id that disagree all count.
+Extra columns stay.
 """
 
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantscope.llm.common import fold_of, shield
+from grantscope.llm.common import cut, fold_of, shield
 
-DIM, NONZERO, HIDDEN, SAMPLE, CONTEXT_WORDS, CACHED, PIECE = 64, 4, 32, 6_000, 20_000, 200_000, 8_192
+DIM, NONZERO, HIDDEN = 64, 4, 32
+#: Bounds of the fit: labelled rows, words with a context vector, and their least uses in the sample.
+SAMPLE, CONTEXT_WORDS, LEAST_USES, APART = 6_000, 50_000, 3, 50
+#: Words of one document, or of several short ones, that are worked on at a time; sums flushed at a time while fitting.
+PIECE, FLUSH = 8_192, 50_000
 #: Fixed value of the contract: the score from which a document is predicted good.
 THRESHOLD = 0.3
 TOKEN = re.compile(r"\S+")
 POOLED = 2 * DIM + 4
 
 
-def _gram_vector(gram: str) -> np.ndarray:
-    """Sparse ternary index vector of a character trigram."""
-    seed = zlib.crc32(gram.encode("utf-8", "surrogatepass"))
-    out = np.zeros(DIM, np.float32)
-    for _ in range(NONZERO):
-        seed = (seed * 1_664_525 + 1_013_904_223) & 0xFFFFFFFF
-        out[(seed >> 8) % DIM] += 1.0 if seed & 0x80000000 else -1.0
-    return out
+def index_vectors(words: list[str]) -> np.ndarray:
+    """Unit index vectors: per word the sum of its trigrams' sparse ternary vectors, ends of the word included."""
+    chars = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    gram = (chars[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (chars[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (chars[2:] * np.uint64(0x165667B19E3779F9))
+    # a word of n letters has n trigrams; those across the border of two words go
+    starts = np.cumsum(size + 2) - (size + 2)
+    own = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    gram = gram[own]
+    gram = (gram ^ (gram >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    gram ^= gram >> np.uint64(29)
+    word = np.repeat(np.arange(len(words)) * DIM, size)
+    out = np.zeros(len(words) * DIM)
+    for k in range(NONZERO):
+        bits = (gram >> np.uint64(7 * k)).astype(np.int64)
+        out += np.bincount(word + (bits & (DIM - 1)), weights=1.0 - 2.0 * ((bits >> 6) & 1), minlength=len(out))
+    return _unit(out.reshape(-1, DIM).astype(np.float32))
+
+
+def _pieces(texts) -> Iterator[tuple[int, list[str]]]:
+    """(position, words) of every text, long ones in several pieces; a text's words are never all held at once."""
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        if len(text) <= 16 * PIECE:
+            words = TOKEN.findall(text)
+            for a in range(0, len(words), PIECE):
+                yield i, words[a : a + PIECE]
+        else:
+            found = (m[0] for m in TOKEN.finditer(text))
+            while words := list(islice(found, PIECE)):
+                yield i, words
+
+
+def _gathered(pieces, size: int = PIECE) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """(positions, words, starts): pieces put together to some thousand words."""
+    at, words, starts = [], [], []
+    for i, piece in pieces:
+        if words and len(words) + len(piece) > size:
+            yield np.array(at), words, np.array(starts)
+            at, words, starts = [], [], []
+        at.append(i)
+        starts.append(len(words))
+        words.extend(piece)
+    if words:
+        yield np.array(at), words, np.array(starts)
 
 
-class Grams(dict):
-    """trigram -> row of a matrix of index vectors, made once while they fit."""
-
-    def __init__(self):
-        self.matrix = np.zeros((4096, DIM), np.float32)
-
-    def __missing__(self, gram: str) -> int:
-        i = len(self)
-        if i == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[i] = _gram_vector(gram)
-        self[gram] = i
-        return i
+class Vectors:
+    """Vectors of words: index vectors, and context vectors where the model has them."""
 
+    def __init__(self, context: dict[str, int] | None = None, near: np.ndarray | None = None):
+        self.context, self.near = context or {}, near
 
-class Vectors:
-    """word -> row of a matrix of unit vectors, made once while they fit. A very long word is read whole."""
-
-    def __init__(self, context: dict[str, np.ndarray] | None = None):
-        self.context, self.grams = context or {}, Grams()
-        self._clear()
-
-    def _clear(self):
-        self.row, self.matrix = {}, np.zeros((4096, DIM), np.float32)
-
-    def _add(self, new: list[str]) -> None:
-        if len(self.grams) > CACHED:
-            self.grams = Grams()
-        ids, sizes = [], []
-        for w in new:
-            padded = f"^{w}$"
-            ids += [self.grams[padded[i : i + 3]] for i in range(len(w))]
-            sizes.append(len(w))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        own = _unit(np.add.reduceat(self.grams.matrix[ids], starts, axis=0))
+    def of(self, words: list[str]) -> np.ndarray:
+        number = {}
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        own = index_vectors(list(number))
         if self.context:
-            known = [i for i, w in enumerate(new) if w in self.context]
-            if known:
-                own[known] = _unit(own[known] + np.stack([self.context[new[i]] for i in known]))
-        first = len(self.row)
-        while first + len(new) > len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[first : first + len(new)] = own
-        self.row.update(zip(new, range(first, first + len(new))))
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        if len(self.row) > CACHED:
-            self._clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.row]
-        if new:
-            self._add(new)
-        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+            row = np.fromiter((self.context.get(w, -1) for w in number), np.int64, len(number))
+            known = row >= 0
+            own[known] = _unit(own[known] + self.near[row[known]])
+        return own[ids]
 
     def pooled(self, texts) -> np.ndarray:
         """One row per text: mean and spread of its words' vectors, likeness of neighbours, length."""
-        words = [TOKEN.findall(t) if t else [] for t in texts]
-        n = np.array([len(w) for w in words], np.float64)
-        total, squares, alike = np.zeros((len(words), DIM)), np.zeros((len(words), DIM)), np.zeros(len(words))
-        # pieces of documents, gathered to some thousand words at a time: long ones in many pieces, short ones together
-        pieces = [(i, w[a : a + PIECE]) for i, w in enumerate(words) for a in range(0, len(w), PIECE)]
-        while pieces:
-            some, size = [], 0
-            while pieces and (not some or size + len(pieces[-1][1]) <= PIECE):
-                some.append(pieces.pop())
-                size += len(some[-1][1])
-            at = np.array([i for i, _ in some])
-            own = self.matrix_of([w for _, piece in some for w in piece])
-            starts = np.concatenate([[0], np.cumsum([len(piece) for _, piece in some])[:-1]])
-            np.add.at(total, at, np.add.reduceat(own, starts, axis=0))
-            np.add.at(squares, at, np.add.reduceat(own * own, starts, axis=0))
+        m = len(texts)
+        n, total, squares, alike = np.zeros(m), np.zeros((m, DIM)), np.zeros((m, DIM)), np.zeros(m)
+        # a long text's piece is compared with the last word of the piece before it
+        last_at, last = -1, None
+        for at, words, starts in _gathered(_pieces(texts)):
+            own = self.of(words)
             near = np.zeros(len(own), np.float32)
             near[1:] = np.einsum("ij,ij->i", own[1:], own[:-1])
             near[starts] = 0
-            np.add.at(alike, at, np.add.reduceat(near, starts))
+            if at[0] == last_at:
+                near[0] = own[0] @ last
+            last_at, last = at[-1], own[-1].copy()
+            # a text has one piece here: pieces of one text fill a gathering each
+            total[at] += np.add.reduceat(own, starts, axis=0)
+            squares[at] += np.add.reduceat(own * own, starts, axis=0)
+            alike[at] += np.add.reduceat(near, starts)
+            n[at] += np.diff([*starts, len(own)])
         count = np.maximum(n, 1)
         mean = total / count[:, None]
-        chars = np.array([len(t) if t else 0 for t in texts], np.float64)
+        chars = np.fromiter((len(t) if t else 0 for t in texts), np.float64, m)
         tail = (alike / np.maximum(n - 1, 1), np.sqrt((mean**2).sum(axis=1)), np.log1p(n) / 10, np.minimum(chars / count / 20, 10) * (n > 0))
         return np.column_stack([mean, np.sqrt(np.maximum(squares / count[:, None] - mean**2, 0)), *tail]).astype(np.float32)
 
-    def matrix_of(self, words: list[str]) -> np.ndarray:
-        ids = self.rows(words)
-        return self.matrix[ids]
-
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-6)[:, None]
@@ -137,7 +139,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Model:
     """The network with its input scaling and temperature, and the context vectors of the sample's words."""
 
-    context: dict[str, np.ndarray]
+    context: dict[str, int]
+    near: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     layers: tuple | None
@@ -156,17 +159,17 @@ class Model:
         return np.tanh(x @ w1 + b1) @ w2 + b2
 
 
-def train(pooled: np.ndarray, label: np.ndarray, context: dict[str, np.ndarray], epochs: int = 60) -> Model:
+def train(pooled: np.ndarray, label: np.ndarray, context: dict[str, int], near: np.ndarray, epochs: int = 60) -> Model:
     """Fit the network on four fifths of the rows by Adam, the temperature on the rest."""
     pooled = pooled.astype(np.float64)
     if len(label) == 0 or label.min() == label.max():
-        return Model(context, np.zeros(POOLED), np.ones(POOLED), None)
-    model = Model(context, pooled.mean(axis=0), pooled.std(axis=0) + 1e-3, None)
+        return Model(context, near, np.zeros(POOLED), np.ones(POOLED), None)
+    model = Model(context, near, pooled.mean(axis=0), pooled.std(axis=0) + 1e-3, None)
     rng = np.random.default_rng(11)
     order = rng.permutation(len(label))
     apart = np.zeros(len(label), bool)
     apart[order[: len(label) // 5]] = True
-    if len(label) < 50 or label[apart].min(initial=1) == label[apart].max(initial=0):
+    if len(label) < APART or label[apart].min(initial=1) == label[apart].max(initial=0):
         apart[:] = False
     x, y = np.clip((pooled[~apart] - model.mean) / model.scale, -8, 8), label[~apart].astype(np.float64)
     w = [rng.normal(0, POOLED**-0.5, (POOLED, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
@@ -189,62 +192,76 @@ def train(pooled: np.ndarray, label: np.ndarray, context: dict[str, np.ndarray],
     z, t = model.logit(pooled[held]), label[held]
     grid = np.geomspace(0.5, 8, 60)
     loss = [np.mean(np.logaddexp(0, z / k) - t * z / k) for k in grid]
-    model.temperature = float(max(grid[int(np.argmin(loss))], 1.0))
+    model.temperature = float(grid[int(np.argmin(loss))])
     return model
 
 
 def _contexts(frames):
-    """Per partition of the sample: summed neighbour vectors of its most used words, and their counts."""
+    """Summed neighbour vectors of the sample's words, and their counts, some thousand words at a time."""
     vectors, sums, count = Vectors(), {}, {}
+
+    def flush():
+        out = pd.DataFrame({"word": list(count), "n": list(count.values()), "near": [sums[w] for w in count]})
+        sums.clear()
+        count.clear()
+        return out
+
     for f in frames:
-        for text in f["text"]:
-            words = TOKEN.findall(text) if text else []
-            if len(words) < 2:
-                continue
-            for a in range(0, len(words), 4096):
-                own = words[max(0, a - 1) : a + 4096]
-                at = vectors.matrix_of(own)
-                near = np.zeros_like(at)
-                near[1:] += at[:-1]
-                near[:-1] += at[1:]
-                for w, x in zip(own, near):
-                    if w in count:
-                        sums[w] += x
-                        count[w] += 1
-                    elif len(count) < 20 * CONTEXT_WORDS:
-                        sums[w], count[w] = x.copy(), 1
-    kept = sorted(count, key=lambda w: (-count[w], w))[:CONTEXT_WORDS]
-    yield pd.DataFrame({"word": kept, "n": [count[w] for w in kept], "near": [sums[w] for w in kept]})
-
-
-def _pool(model_context):
+        last_at, last = -1, None
+        for at, words, starts in _gathered(_pieces(f["text"])):
+            own = vectors.of(words)
+            near = np.zeros_like(own)
+            near[1:] += own[:-1]
+            near[:-1] += own[1:]
+            # neighbours are of one text; a piece goes on where the text's last one ended
+            for a in starts[1:]:
+                near[a] -= own[a - 1]
+                near[a - 1] -= own[a]
+            if at[0] == last_at:
+                near[0] += last[1]
+                sums[last[0]] = sums.get(last[0], 0) + own[0]
+                count.setdefault(last[0], 0)
+            last_at, last = at[-1], (words[-1], own[-1].copy())
+            for w, x in zip(words, near):
+                if w in count:
+                    sums[w] = sums[w] + x
+                    count[w] += 1
+                else:
+                    sums[w], count[w] = x.copy(), 1
+            if len(count) > FLUSH:
+                yield flush()
+    if count:
+        yield flush()
+
+
+def _pool(shared):
     def run(frames):
-        vectors = Vectors(model_context.value)
+        vectors = Vectors(*shared.value)
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "label": f["label"], "pooled": list(vectors.pooled(f["text"]))})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "pooled": list(vectors.pooled(f["text"]))})
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, context_words: int = CONTEXT_WORDS) -> Model:
     """Learn from at most `sample` labelled documents outside the held-out fold (crc32 mod 5 = 0)."""
     spark = docs.sparkSession
     usable = labels.filter("quality in (0, 1) and doc_id is not null").filter(fold_of(F.col("doc_id"), 5) != 0)
     chosen = usable.select("doc_id", F.col("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(8, "doc_id").sortWithinPartitions("doc_id", "text")
+    # a row per doc_id of the sample, however often it recurs
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = cut(picked.groupBy("doc_id").agg(F.min("text").alias("text")), "quality-sample").repartition(8, "doc_id").sortWithinPartitions("doc_id")
     parts = texts.mapInPandas(_contexts, "word string, n long, near array<float>")
     near = parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(F.col("near")[i]).alias(f"v{i}") for i in range(DIM)])
-    top = near.filter("n >= 3").orderBy(F.desc("n"), "word").limit(CONTEXT_WORDS).toPandas()
-    values = top[[f"v{i}" for i in range(DIM)]].to_numpy(np.float32).round(4)
-    values /= np.maximum(np.sqrt((values**2).sum(axis=1, keepdims=True)), 1e-6)
-    context = dict(zip(top["word"], values))
-    shared = spark.sparkContext.broadcast(context)
-    rows = texts.mapInPandas(_pool(shared), "doc_id long, label int, pooled array<float>").toPandas()
-    rows["pooled"] = [np.asarray(x, np.float32) for x in rows["pooled"]]
-    rows["k"] = [x.tobytes() for x in rows["pooled"]]
-    rows = rows.sort_values(["doc_id", "label", "k"])
-    pooled = np.stack(rows["pooled"].to_numpy()) if len(rows) else np.zeros((0, POOLED))
-    return train(pooled, rows["label"].to_numpy(np.int64), context)
+    near = near.filter(F.col("n") >= LEAST_USES).orderBy(F.desc("n"), "word").limit(context_words)
+    top = near.select("word", F.array(*[F.round(f"v{i}", 4).cast("float") for i in range(DIM)]).alias("near")).toPandas()
+    context = {w: i for i, w in enumerate(top["word"])}
+    values = _unit(np.stack(top["near"].to_numpy()).astype(np.float32)) if len(top) else np.zeros((0, DIM), np.float32)
+    shared = spark.sparkContext.broadcast((context, values))
+    rows = texts.mapInPandas(_pool(shared), "doc_id long, pooled array<float>").toPandas().merge(chosen.toPandas(), on="doc_id")
+    rows = rows.sort_values(["doc_id", "label"])
+    pooled = np.stack(rows["pooled"].to_numpy()).astype(np.float32) if len(rows) else np.zeros((0, POOLED))
+    return train(pooled, rows["label"].to_numpy(np.int64), context, values)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -267,7 +284,7 @@ _HELD: dict[str, Vectors] = {}
 def _vectors_of(model: Model) -> Vectors:
     if model.key not in _HELD:
         _HELD.clear()
-        _HELD[model.key] = Vectors(model.context)
+        _HELD[model.key] = Vectors(model.context, model.near)
     return _HELD[model.key]
 
 
