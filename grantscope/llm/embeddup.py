@@ -36,7 +36,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from grantscope.llm.common import components, cut, groups, small
 
-TABLES, MOST_HASHES, BLOCK = 10, 8, 1024
+TABLES, MOST_HASHES, BLOCK = 10, 8, 256
 #: Classes of a bucket that one task reads; for very large buckets, PART times the square root of its size.
 HOT, PART = 2048, 32
 #: Fixed value of the contract: cosine from which vectors of a label are linked.
