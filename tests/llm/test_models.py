@@ -46,8 +46,7 @@ def test_classifiers_on_held_out_documents(corpus, op, label):
 
 
 def test_gapped_insults_stay_near_the_plain_word():
-    table = toxicity.kernel_table(["blockhead"])
-    near = toxicity.linear(["blockhead", "blxockhead", "bloc", "tionarbe"], table)[:, 0]
+    near = toxicity.linear(["blockhead", "blxockhead", "bloc", "tionarbe"], *toxicity.kernel_table(["blockhead"]))[:, 0]
     assert abs(near[0] - 1) < 1e-6 and near[1] > 0.5 > near[2] > near[3]
     assert "idiot" in toxicity.read("you I d i o t") or "idiot" in {w[-5:] for w in toxicity.read("you I d i o t")}
     assert "idiot" in toxicity.read("i.d.i.o.t")
@@ -62,7 +61,7 @@ def test_kernel_is_the_gap_weighted_sum():
         return total(a, b) / (total(a, a) * total(b, b)) ** 0.5
 
     words = ["banana", "bandana", "cab"]
-    got = toxicity.linear(words, toxicity.kernel_table(words))
+    got = toxicity.linear(words, *toxicity.kernel_table(words))
     assert np.allclose(got, [[brute(a, b) for b in words] for a in words], atol=1e-5)
 
 
