@@ -39,7 +39,7 @@ PERMS, BANDS, ROWS, BITS = 128, 20, 4, 4
 #: Estimates from which a class ties itself to a leader, and from which a pair is worth an exact look.
 TIE, MAYBE = 0.74, 0.62
 #: Classes of a bucket that one task reads, members whose sets one task confirms, classes of a block.
-HOT, STAR, BLOCK = 2048, 512, 1024
+HOT, STAR, BLOCK = 256, 256, 512
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
 _AZ = str.maketrans(UPPER, LOWER)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
