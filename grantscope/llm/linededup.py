@@ -89,11 +89,14 @@ def index_lines(docs: DataFrame, min_chars: int, batches: int) -> tuple[DataFram
     bounds = sorted(set(bounds or []))
     # batch 0 holds the largest ids; null ids belong to none
     batch = F.when(F.col("doc_id").isNull(), -1).otherwise(sum(((F.col("doc_id") <= b).cast("int") for b in bounds), F.lit(0)))
+    # the text's hash and the batch are worked out once a document, below the generator
+    split = F.split(F.coalesce("text", F.lit("")), "\n").alias("held")
     lines = (
-        docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+        docs.select("doc_id", F.xxhash64("text").alias("th"), batch.alias("batch"), split)
+        .select("doc_id", "th", "batch", F.posexplode_outer("held").alias("pos", "line"))
         .withColumn("key", key)
         .filter(F.char_length("key") >= min_chars)
-        .select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), batch.alias("batch"))
+        .select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "batch")
     )
     lines = cut(lines, "lines", "batch")
     index = LineRuns(docs.sparkSession)
