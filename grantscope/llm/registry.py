@@ -47,4 +47,7 @@ def op5_embedding_near_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_pii, op4_toxicity, op5_embedding_near_dedup, op6_secret_scan, op7_chat_formatting, op8_source_mixing, op10_minhash_near_dedup, op9_benchmark_decontamination)}
-ORACLES = {"op2_line_dedup": linededup.ORACLE, "op5_embedding_near_dedup": embeddup.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES = {
+    "op2_line_dedup": linededup.ORACLE, "op5_embedding_near_dedup": embeddup.ORACLE,
+    "op8_source_mixing": mixing.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE,
+}

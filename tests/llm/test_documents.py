@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from grantscope.llm import decontaminate, linededup, minhash, mixing, pii, secrets
+from grantscope.llm import decontaminate, linededup, minhash, pii, secrets
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LINE = "This line of text is shared by many"
@@ -85,33 +85,6 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contamination(docs, swapped, near=8).filter("n_near > 0 and not contaminated").count() == 2
 
 
-def test_mixing(docs, none):
-    rows = mixing.query(docs).collect()
-    assert len(rows) == len(TEXTS) and mixing.query(none).count() == 0
-    size = {}
-    for _, t, s in TEXTS:
-        size[s] = size.get(s, 0) + len(re.findall("[^\x20\x09-\x0d]+", t or ""))
-    target = {s: t for s, _, t, _ in mixing.targets(list(size.items()))}
-    total = sum(size.values())
-    assert abs(sum(target.values()) - min(1.5 * total, 2 * total)) < 1e-6 and all(target[s] <= 2 * size[s] + 1e-9 for s in size)
-    for r in rows:
-        assert r.taken <= 2 * r.size and (r.position is None) == (r.taken == 0) and (r.position is None or 0 <= r.position <= 1)
-    for s in size:
-        taken = sum(r.taken for r in rows if (r.source_size, r.target) == (size[s], target[s])) if list(zip(size.values(), target.values())).count((size[s], target[s])) == 1 else None
-        assert taken is None or abs(taken - target[s]) < 1
-    again = mixing.query(docs.repartition(5)).collect()
-    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
-    mixed = mixing.mixed(docs)
-    assert mixed.columns[: len(docs.columns)] == docs.columns
-    assert [r.position for r in mixed.collect()] == sorted(r.position for r in mixed.collect())
-
-
-def test_water_filling_caps_and_orders_by_code_point():
-    out = mixing.targets([(None, 10), ("b", 100), ("a", 10), ("Z", 0)])
-    assert [s for s, *_ in out] == ["Z", "a", "b", None]
-    assert [t for _, _, t, _ in out] == [0, 20, 140, 20]
-
-
 def test_personal_data(docs, none, spark):
     found = {r.doc_id: r for r in pii.query(docs).collect()}
     text = dict((i, t) for i, t, _ in TEXTS)[11]
