@@ -30,7 +30,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantscope.llm.common import LOWER, UPPER, components, cut, groups, shield, small
@@ -40,6 +40,8 @@ PERMS, BANDS, ROWS, BITS = 128, 20, 4, 4
 TIE, MAYBE = 0.74, 0.62
 #: Classes of a bucket that one task reads, members whose sets one task confirms, classes of a block.
 HOT, STAR, BLOCK = 256, 256, 512
+#: Parts of a bucket that are counted apart.
+SALTS = 16
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
 _AZ = str.maketrans(UPPER, LOWER)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -293,8 +295,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
     own = filled.join(member.filter("doc_id = id").select("id"), F.col("doc_id") == F.col("id")).select("id", "s1", "s2", "n_shingles", "sig", "bands")
     own = own.dropDuplicates(["id", "s1", "s2"]) if recurs else own
     banded = own.select("id", F.explode("bands").alias("key")).distinct()
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    bucketed = cut(banded.join(shared, "key"), "buckets")
+    # buckets are counted and joined by key and salt, so that a large one is no single task's
+    banded = banded.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SALTS)))
+    counts = banded.groupBy("key", "salt").agg(F.count("*").alias("c"))
+    shared = counts.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).filter("n > 1").drop("c")
+    bucketed = cut(banded.join(shared, ["key", "salt"]), "buckets")
     ids = cut(bucketed.select("id").distinct(), "bucketed")
     side = F.broadcast(ids) if small(ids, broadcast_rows) else ids
     texts = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("id")).select("id", "text")
@@ -315,9 +320,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
     grouped = cut(components(confirmed, "stars"), "groups").withColumnRenamed("component", "grp")
     # step 4: buckets that still hold several groups
     named = bucketed.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("grp", F.coalesce("grp", "id"))
-    mixed = named.groupBy("key").agg((F.min("grp") < F.max("grp")).alias("mixed")).filter("mixed").select("key")
+    ends = named.groupBy("key", "salt").agg(F.min("grp").alias("low"), F.max("grp").alias("high"))
+    by_key = Window.partitionBy("key")
+    mixed = ends.withColumn("mixed", F.min("low").over(by_key) < F.max("high").over(by_key)).filter("mixed").select("key", "salt")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = named.join(mixed, "key").join(own, "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    open_ = named.join(mixed, ["key", "salt"]).join(own, "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block b of a bucket meets every block: pair (i, j), i <= j, where b is i or j
     open_ = open_.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "s1", "s2", "grp", "n_shingles", "sig", "bands")
