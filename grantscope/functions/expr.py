@@ -30,6 +30,9 @@ ADMIN_MARKERS = ("owner", "admin", "administrator", "editor", "contributor", "*"
 BROAD_OAUTH = ("https://www.googleapis.com/auth/cloud-platform", "https://www.googleapis.com/auth/drive", "https://graph.microsoft.com/.default", "offline_access", "*")
 BROAD_DESTINATIONS = ("*", "0.0.0.0/0", "::/0", "any", "internet", "all")
 BROAD_RESOURCES = ("*", "/", "~", ".", "..", "${HOME}", "/**", "**", "/*")
+UNTRUSTED_SOURCES = ("user_input", "external_http_response", "web_retrieval", "mcp_response", "agent_tool_input")
+BROAD_TOOLSETS = ("GoogleApiToolset", "GmailToolset", "CalendarToolset", "DocsToolset", "SheetsToolset", "SlidesToolset", "YoutubeToolset", "APIHubToolset", "ApplicationIntegrationToolset", "OpenAPIToolset")
+CONTEXTS = ("runtime", "cli", "application-support", "test", "example", "tutorial", "notebook", "template-generated", "unknown")
 PACKAGE_RUNNERS = ("npx", "bunx", "pnpx")
 PERSISTENT_MARKERS = ("database", "db", "redis", "sql", "firestore", "storage", "store", "persist", "persistent", "checkpoint")
 SESSION_MARKERS = ("state", "session", "context", "cache", "scratch", "temporary", "temp")

@@ -21,23 +21,47 @@ def edges(agents: DataFrame, delegations: DataFrame) -> DataFrame:
 
 
 def delegation_paths(agents: DataFrame, delegations: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(root, leaf, path): every simple path, the root itself included; an error past `max_depth` levels."""
+    """(root, leaf, path): every simple path, the root itself included; an error past `max_depth` levels.
+
+    Paths can be many more than agents; reachable() doesn't go through them.
+    """
     spark = agents.sparkSession
     edges(agents, delegations).createOrReplaceTempView("gs_edges")
     agents.groupBy("name").count().filter("count = 1").select("name").createOrReplaceTempView("gs_roots")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql("""
-        WITH RECURSIVE walk(root, leaf, path) AS (
-          SELECT name, name, array(name) FROM gs_roots
-          UNION ALL
-          SELECT w.root, e.child, array_append(w.path, e.child) FROM walk w JOIN gs_edges e ON e.parent = w.leaf WHERE NOT array_contains(w.path, e.child))
-        SELECT root, leaf, path FROM walk""")
-
-
-def reachable(agents: DataFrame, delegations: DataFrame) -> DataFrame:
-    """(root, leaf) pairs of delegated reach, the root itself excluded."""
-    return delegation_paths(agents, delegations).filter("root <> leaf").select("root", "leaf").distinct()
+    limits = {"spark.sql.cteRecursionLevelLimit": str(max_depth), "spark.sql.cteRecursionRowLimit": "-1"}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        out = spark.sql("""
+            WITH RECURSIVE walk(root, leaf, path) AS (
+              SELECT name, name, array(name) FROM gs_roots
+              UNION ALL
+              SELECT w.root, e.child, array_append(w.path, e.child) FROM walk w JOIN gs_edges e ON e.parent = w.leaf WHERE NOT array_contains(w.path, e.child))
+            SELECT root, leaf, path FROM walk""")
+        # the limits are read when the plan is made
+        out._jdf.queryExecution().executedPlan()
+        return out
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def reachable(agents: DataFrame, delegations: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(root, leaf) pairs of delegated reach, the root itself excluded.
+
+    Each round joins only the pairs that the last one found, and keeps those not yet known: pairs, not paths, so
+    that many ways between two agents cost no more than one. Rounds end when nothing is new.
+    """
+    step = edges(agents, delegations).filter("parent <> child")
+    known = fresh = step.select(F.col("parent").alias("root"), F.col("child").alias("leaf")).checkpoint()
+    for _ in range(max_depth):
+        found = fresh.join(step, fresh.leaf == step.parent).select("root", F.col("child").alias("leaf")).filter("root <> leaf").distinct()
+        fresh = found.join(known, ["root", "leaf"], "left_anti").checkpoint()
+        if fresh.isEmpty():
+            return known
+        known = known.unionByName(fresh)
+    raise ValueError(f"delegation goes deeper than {max_depth} levels")
 
 
 def reachable_identities(fs) -> DataFrame:

@@ -38,6 +38,11 @@ def _tools(fs) -> DataFrame:
     return fs.tools.join(flags, "agent_key").withColumnRenamed("name", "target_name")
 
 
+def _detailed(fs) -> DataFrame:
+    """Tools with what adapters know of them; a tool without details has null ones."""
+    return _tools(fs).join(fs.tool_details.withColumnRenamed("name", "target_name"), ["agent_key", "target_name"], "left")
+
+
 def has(c: str):
     return F.array_contains("caps", c)
 
@@ -48,20 +53,45 @@ def _tool_tests() -> dict:
         "AGT020": has("process.execute") & loose & (F.col("kind") != "delegated_agent"),
         "AGT021": has("destructive.write") & loose,
         "AGT022": has("data.write") & loose & F.col("kind").isin("apply_patch", "generic", "function"),
-        "AGT040": X.any_of(F.col("caps"), X.PRIVILEGED) & loose & ~F.col("guardrails") & ~F.col("controlled"),
+        "AGT023": has("computer.control") & _yes("control_custom") & _yes("control_mutating") & ~F.col("guardrails") & loose & ~F.col("controlled"),
+        "AGT040": ~_yes("control_custom") & X.any_of(F.col("caps"), X.PRIVILEGED) & loose & ~F.col("guardrails") & ~F.col("controlled"),
     }
 
 
+def _yes(c: str):
+    return F.coalesce(F.col(c), F.lit(False))
+
+
 def _broken(tests: dict):
     return F.array_compact(F.array(*[F.when(t, F.lit(r)) for r, t in tests.items()]))
 
 
 def tool_rules(fs) -> DataFrame:
-    rows = _tools(fs)
+    """Rules on single tools, bound to an agent or not (agent is null then)."""
     approval = F.concat(F.lit("approval="), F.coalesce(F.col("approval").cast("string"), F.lit("unknown")))
     # one pass over the tools: the rules a tool breaks, exploded
-    broken = _broken(_tool_tests())
-    return rows.select(F.explode(broken).alias("rule_id"), "agent", F.col("target_name").alias("subject"), approval.alias("evidence"))
+    bound = _detailed(fs).select(F.explode(_broken(_tool_tests())).alias("rule_id"), "agent", F.col("target_name").alias("subject"), approval.alias("evidence"))
+    loose = fs.unbound_tools.filter(has("process.execute") & ~X.is_true(F.col("approval")))
+    return bound.unionByName(loose.select(F.lit("AGT020").alias("rule_id"), F.lit(None).cast("string").alias("agent"), F.col("name").alias("subject"), approval.alias("evidence")))
+
+
+def _adk_tests() -> dict:
+    """Rules on single tools of one framework, by what its adapter knows of them."""
+    c, loose = F.col, ~X.is_true(F.col("approval"))
+    executor, remote = F.coalesce(c("part_of") == "adk_code_executor", F.lit(False)), F.coalesce(c("part_of") == "adk_a2a_remote", F.lit(False))
+    is_a = lambda *names: F.coalesce(c("builtin").isin(*names), F.lit(False))
+    return {
+        "ADK002": F.coalesce(c("executor") == "UnsafeLocalCodeExecutor", F.lit(False)) | (executor & X.is_false(c("sandboxed"))),
+        "ADK003": is_a("EnvironmentToolset") & F.coalesce(c("environment") == "LocalEnvironment", F.lit(False)),
+        "ADK004": is_a("ExecuteBashTool") & ~_yes("bash_restrictive"),
+        "ADK005": is_a("ComputerUseToolset") & loose & ~c("guardrails"),
+        "ADK006": is_a("BigQueryToolset") & has("data.write"),
+        "ADK007": is_a(*X.BROAD_TOOLSETS) & ~_yes("filtered"),
+        "ADK008": F.coalesce(c("part_of") == "adk_agent_tool", F.lit(False)) & X.is_false(c("include_plugins")),
+        "ADK009": remote & F.coalesce(F.startswith("agent_card", F.lit("http://")), F.lit(False)),
+        "ADK010": remote & ~X.is_true(c("card_authenticated")),
+        "ADK012": executor & X.is_true(c("sandboxed")) & F.coalesce("limits_applicable", F.lit(True)) & ~_yes("limits_complete"),
+    }
 
 
 def _framework_tests() -> dict:
@@ -69,10 +99,42 @@ def _framework_tests() -> dict:
 
 
 def framework_rules(fs) -> DataFrame:
-    rows = _tools(fs).filter((F.col("framework") == "google-adk") & ~F.col("controlled") & X.any_of(F.col("caps"), X.PRIVILEGED))
+    adk = _detailed(fs).filter(F.col("framework") == "google-adk")
+    rows = adk.filter(~F.col("controlled") & X.any_of(F.col("caps"), X.PRIVILEGED))
     sums = rows.groupBy("agent").agg(F.every(~X.is_true(F.col("approval")) & ~F.col("guardrails")).alias("open"), F.max("a2a_exposed").alias("exposed"), F.count("*").cast("string").alias("n"))
     each = F.explode(_broken(_framework_tests()))
-    return sums.select(each.alias("rule_id"), "agent", F.lit("").alias("subject"), F.concat(F.lit("privileged_tools="), "n").alias("evidence"))
+    whole = sums.select(each.alias("rule_id"), "agent", F.lit("").alias("subject"), F.concat(F.lit("privileged_tools="), "n").alias("evidence"))
+    known = F.concat(F.lit("known_as="), F.coalesce("builtin", "executor", "part_of", F.lit("")))
+    return whole.unionByName(adk.select(F.explode(_broken(_adk_tests())).alias("rule_id"), "agent", F.col("target_name").alias("subject"), known.alias("evidence")))
+
+
+def flow_rules(fs) -> DataFrame:
+    """Paths that a supported flow of a proven agent bears out; subject is the flow."""
+    untrusted = F.col("source_kind").isin(*X.UNTRUSTED_SOURCES)
+    rule = (
+        F.when(untrusted & (F.col("sink_kind") == "process_execute"), "PATH001")
+        .when(untrusted & (F.col("sink_kind") == "memory_write"), "PATH007")
+        .when((F.col("source_kind") == "secret_value") & (F.col("sink_kind") == "external_send"), "PATH003")
+    )
+    rows = fs.flows.filter("reachability = 'proven_agent_reachable' and confidence = 'supported'").withColumn("rule_id", rule).filter("rule_id is not null")
+    rows = rows.join(fs.agents.select("agent_key", F.col("name").alias("agent")), "agent_key")
+    return rows.select("rule_id", "agent", F.col("flow_id").alias("subject"), F.concat(F.lit("basis=static_dataflow;"), "source_kind", F.lit(">"), "sink_kind").alias("evidence"))
+
+
+def path_rules(fs) -> DataFrame:
+    """Paths by flow, and by what an agent combines: a tool each for execution, destruction and sending."""
+    flows = flow_rules(fs)
+    untrusted = fs.inputs.filter((F.col("trust") == "untrusted") | F.col("kind").isin(*X.UNTRUSTED_KINDS)).select("agent_key").distinct().withColumn("u", F.lit(True))
+    held = fs.resources.join(fs.tools.select("agent_key", F.col("name").alias("owner_name"), "caps"), ["agent_key", "owner_name"])
+    sensitive = held.filter(F.col("classification").isin(*X.SENSITIVE_CLASSES) & X.any_of(F.col("caps"), ("data.read", "secrets.read"))).select("agent_key").distinct().withColumn("s", F.lit(True))
+    proven = flows.filter("rule_id = 'PATH001'").select("agent").distinct().withColumn("proven", F.lit(True))
+    rows = _tools(fs).filter(~X.is_true(F.col("approval"))).join(untrusted, "agent_key", "left").join(sensitive, "agent_key", "left").join(proven, "agent", "left")
+    tests = {
+        "PATH001": _yes("u") & has("process.execute") & ~_yes("proven"), "PATH002": _yes("u") & has("destructive.write"),
+        "PATH003": _yes("s") & X.any_of(F.col("caps"), X.OUTBOUND),
+    }
+    each = rows.select(F.explode(_broken(tests)).alias("rule_id"), "agent", F.col("target_name").alias("subject"), F.lit("basis=capability_cooccurrence").alias("evidence"))
+    return flows.unionByName(each)
 
 
 def _server_tests() -> dict:
@@ -101,7 +163,7 @@ def agent_profile(fs) -> DataFrame:
     read, write = has("data.read"), X.any_of(F.col("caps"), ("data.write", "destructive.write"))
     secret = has("secrets.read")
     by_tool = tools.groupBy("agent_key").agg(
-        F.array_distinct(F.flatten(F.collect_set("caps"))).alias("t_caps"), F.max(loose & outbound).alias("loose_outbound"), F.max(loose & has("process.execute")).alias("loose_exec"), F.max(loose & has("destructive.write")).alias("loose_destroy"),
+        F.array_distinct(F.flatten(F.collect_set("caps"))).alias("t_caps"), F.max(loose & outbound).alias("loose_outbound"),
         F.max(outbound & ~F.coalesce(F.col("network_scope") == "fixed_managed_service", F.lit(False))).alias("free_outbound"), F.max(outbound).alias("outbound"), F.max(read).alias("reads"), F.max(write).alias("writes"), F.max(secret).alias("secrets"),
         F.collect_set(F.when(outbound & F.col("aimed").isNull() & ~fixed, X.stable_id("authority-v1:", F.col("agent"), F.lit("tool"), F.col("target_name")))).alias("open_outbound"),
     )
@@ -116,7 +178,7 @@ def agent_profile(fs) -> DataFrame:
     none = F.array().cast("array<string>")
     caps = X.sorted_set(F.concat(F.coalesce("t_caps", none), F.coalesce("s_caps", none)))
     out = out.withColumn("caps", caps)
-    lists, flags = ("open_outbound", "selectors", "targets", "required", "denied", "allowed_resources", "allowed_destinations", "require_approval_for"), ("loose_outbound", "loose_exec", "loose_destroy", "free_outbound", "outbound", "reads", "writes", "secrets", "sensitive", "broad", "untrusted")
+    lists, flags = ("open_outbound", "selectors", "targets", "required", "denied", "allowed_resources", "allowed_destinations", "require_approval_for"), ("loose_outbound", "free_outbound", "outbound", "reads", "writes", "secrets", "sensitive", "broad", "untrusted")
     return out.withColumns({c: F.coalesce(c, none) for c in lists} | {c: F.coalesce(c, F.lit(False)) for c in flags})
 
 
@@ -142,9 +204,6 @@ def _agent_tests() -> dict:
         "NET002": (~c("broad") & (F.size("open_outbound") > 0), F.concat(F.lit("capabilities="), joined(F.array_intersect("caps", X.strings(X.OUTBOUND))), F.lit(";authority_relationship="), joined("open_outbound"))),
         "NET003": ((F.size("allowed_destinations") > 0) & (F.size(strange) > 0), joined(strange)),
         "AGT010": (c("sensitive") & outbound & c("loose_outbound"), F.lit("")),
-        "PATH001": (c("untrusted") & c("loose_exec"), F.lit("")),
-        "PATH002": (c("untrusted") & c("loose_destroy"), F.lit("")),
-        "PATH003": (c("sensitive") & c("loose_outbound"), F.lit("")),
         "PATH004": (c("untrusted") & c("sensitive") & has("process.execute"), F.lit("")),
         "PATH005": (c("untrusted") & c("secrets") & c("free_outbound"), F.lit("")),
         "PATH006": (c("untrusted") & (F.size(high) >= 2), joined(high)),
@@ -173,23 +232,34 @@ def _identity_tests() -> dict:
 
 
 def identity_rules(fs) -> DataFrame:
-    rows = fs.identities.join(fs.agents.select("agent_key", F.col("name").alias("agent")), "agent_key")
+    """Identities of agents, and those that no agent has (agent is null)."""
+    own = fs.identities.join(fs.agents.select("agent_key", F.col("name").alias("agent")), "agent_key")
+    free = fs.global_identities.join(fs.identities.select("name", "provider").distinct(), ["name", "provider"], "left_anti").withColumn("agent", F.lit(None).cast("string"))
+    columns = ["agent", "name", "roles", "permissions", "oauth_scopes", "credential_source"]
+    rows = own.select(*columns).unionByName(free.select(*columns))
     return rows.select(F.explode(_broken(_identity_tests())).alias("rule_id"), "agent", F.col("name").alias("subject"), F.lit("").alias("evidence")).distinct()
 
 
 def evaluated() -> list[str]:
-    """The rules that evaluate() runs; REGISTRY also has those that the present facts can't answer."""
-    return sorted({*_tool_tests(), *_framework_tests(), *_server_tests(), *_agent_tests(), "CAP006", *_identity_tests()})
+    """The rules that evaluate() runs."""
+    paths = {"PATH001", "PATH002", "PATH003", "PATH007"}
+    return sorted({*_tool_tests(), *_adk_tests(), *_framework_tests(), *_server_tests(), *_agent_tests(), "CAP006", *_identity_tests(), *paths})
 
 
 def evaluate(fs) -> DataFrame:
-    """All findings, deduplicated, with severity, layer, risk categories and a fingerprint."""
+    """All findings, deduplicated, with severity, layer, risk categories, source context and a fingerprint.
+
+    A finding without an agent has a null one and the context unknown.
+    """
     out = tool_rules(fs)
-    for part in (framework_rules(fs), server_rules(fs), agent_rules(fs), approval_rules(fs), identity_rules(fs)):
+    for part in (framework_rules(fs), server_rules(fs), agent_rules(fs), approval_rules(fs), identity_rules(fs), path_rules(fs)):
         out = out.unionByName(part)
     out = out.dropDuplicates(["rule_id", "agent", "subject", "evidence"])
+    context = fs.agents.groupBy(F.col("name").alias("agent")).agg(X.source_context(F.min("path")).alias("source_context"))
     # the registry is a fixed table of 46 rows
-    return out.join(F.broadcast(registry(fs.agents.sparkSession)), "rule_id").withColumn("fingerprint", X.stable_id("finding-v1:", "rule_id", "agent", "subject"))
+    out = out.join(F.broadcast(registry(fs.agents.sparkSession)), "rule_id").join(context, "agent", "left")
+    fingerprint = X.stable_id("finding-v1:", F.col("rule_id"), F.coalesce("agent", F.lit("")), F.col("subject"))
+    return out.withColumn("source_context", F.coalesce("source_context", F.lit("unknown"))).withColumn("fingerprint", fingerprint)
 
 
 def by_layer(findings: DataFrame) -> DataFrame:
@@ -198,15 +268,36 @@ def by_layer(findings: DataFrame) -> DataFrame:
     return layers.join(counts, "layer", "left").select("layer", F.coalesce("n", F.lit(0)).alias("n"), "worst")
 
 
-def by_risk(findings: DataFrame) -> DataFrame:
-    """Per risk category, all ten: findings, worst severity, rules, agents, status."""
+def by_context(findings: DataFrame) -> DataFrame:
+    """Findings per source context, all nine."""
+    contexts = findings.sparkSession.createDataFrame([(c,) for c in X.CONTEXTS], "source_context string")
+    counts = findings.groupBy("source_context").agg(F.count("*").alias("n"))
+    return contexts.join(counts, "source_context", "left").select("source_context", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def exclude_contexts(findings: DataFrame, contexts: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(findings outside `contexts`, counts per context before and after); gates come after it."""
+    unknown = sorted(set(contexts) - set(X.CONTEXTS))
+    if unknown:
+        raise ValueError(f"no source context: {', '.join(unknown)}")
+    gone = F.col("source_context").isin(*contexts) if contexts else F.lit(False)
+    counts = by_context(findings).select("source_context", F.col("n").alias("before"), F.when(gone, 0).otherwise(F.col("n")).alias("after"))
+    return findings.filter(~gone), counts
+
+
+def by_risk(findings: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """Per risk category, all ten: findings at all and at run time, worst severity, rules, agents, both statuses."""
     spark = findings.sparkSession
     taxonomy = spark.createDataFrame([(f"ASI{i:02}", t) for i, t in enumerate(RISKS, 1)], "risk string, title string")
-    assessed = registry(spark).filter(F.col("rule_id").isin(evaluated())).select(F.explode("owasp").alias("risk")).distinct().withColumn("assessed", F.lit(True))
-    counts = findings.select("rule_id", "agent", "severity", F.explode("owasp").alias("risk")).groupBy("risk").agg(F.count("*").alias("n"), F.max("severity").alias("worst"), F.countDistinct("rule_id").alias("rules"), F.countDistinct("agent").alias("agents"))
+    running = [r for r in evaluated() if r not in disabled]
+    assessed = registry(spark).filter(F.col("rule_id").isin(running)).select(F.explode("owasp").alias("risk")).distinct().withColumn("assessed", F.lit(True))
+    counts = findings.select("rule_id", "agent", "severity", "source_context", F.explode("owasp").alias("risk")).groupBy("risk").agg(
+        F.count("*").alias("n"), F.count_if(F.col("source_context") == "runtime").alias("at_runtime"), F.max("severity").alias("worst"), F.countDistinct("rule_id").alias("rules"), F.countDistinct("agent").alias("agents")
+    )
     out = taxonomy.join(counts, "risk", "left").join(F.broadcast(assessed), "risk", "left")
-    status = F.when(F.col("n") > 0, "findings").when(F.col("assessed"), "no_mapped_findings").otherwise("not_assessed")
-    return out.select("risk", "title", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "rules", "agents")], "worst", status.alias("status"))
+    status = F.when(F.col("n") > 0, "finding").when(F.col("assessed"), "no_mapped_findings").otherwise("not_assessed")
+    runtime = F.when(F.col("assessed").isNull(), "not_assessed").when(F.col("at_runtime") > 0, "finding").when(F.col("n") > 0, "no_runtime_findings").otherwise("no_mapped_findings")
+    return out.select("risk", "title", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "at_runtime", "rules", "agents")], "worst", status.alias("status"), runtime.alias("runtime_status"))
 
 
 def suppress(findings: DataFrame, suppressions: DataFrame, today) -> tuple[DataFrame, DataFrame]:

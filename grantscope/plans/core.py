@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from grantscope.functions import expr as X
 from grantscope.operators import authority, closure, delta, graph, mcp, policy, query, reconcile, rules
 from grantscope.plans.catalog import register
+from grantscope.plans import questions as Q
 from grantscope.plans.lens import facts, with_views
 
 LIST = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
@@ -131,22 +132,27 @@ def boundary_classes(spark, sf_dir):
     return authority.boundaries(authority.relationships(facts(spark, sf_dir))).filter("family = 'identity'").groupBy("class").agg(F.count("*").alias("n"))
 
 
-@register("boundary_report")
+@register("boundary_report", sql(TOOL_VIEWS + " mcp_servers", Q.SNAPSHOT + Q.SERVERS + Q.CLASSES.format(name="cls", rows="(SELECT * FROM snap UNION ALL SELECT * FROM srvs) x") + """
+SELECT family, class, count(*) AS n FROM cls GROUP BY family, class"""))
 def boundary_report(spark, sf_dir):
     return authority.boundaries(authority.relationships(facts(spark, sf_dir))).groupBy("family", "class").agg(F.count("*").alias("n"))
 
 
-@register("tool_findings", sql("agents tools", """,
-t AS (SELECT a.name AS agent, t.name AS subject, ',' || t.caps || ',' AS c, t.kind, t.approval, t.guardrails OR a.approval_plugin OR a.before_tool_callback AS held, 'approval=' || coalesce(CASE WHEN t.approval THEN 'true' WHEN NOT t.approval THEN 'false' END, 'unknown') AS evidence
-  FROM f_tools t JOIN f_agents a ON t.agent_key = a.agent_key WHERE t.approval IS NOT TRUE)
-SELECT 'AGT020' AS rule_id, agent, subject, evidence FROM t WHERE c LIKE '%,process.execute,%' AND kind <> 'delegated_agent'
-UNION ALL SELECT 'AGT021', agent, subject, evidence FROM t WHERE c LIKE '%,destructive.write,%'
-UNION ALL SELECT 'AGT022', agent, subject, evidence FROM t WHERE c LIKE '%,data.write,%' AND kind IN ('apply_patch', 'generic', 'function')
-UNION ALL SELECT 'AGT040', agent, subject, evidence FROM t WHERE NOT held AND (c LIKE '%,process.execute,%' OR c LIKE '%,destructive.write,%' OR c LIKE '%,external.write,%' OR c LIKE '%,data.write,%' OR c LIKE '%,secrets.read,%' OR c LIKE '%,identity.admin,%')"""))
+RULED = sql(Q.RULE_VIEWS, Q.RULES)
+
+
+@register("tool_findings", RULED + """
+SELECT rule_id, agent, subject, evidence FROM fnd WHERE rule_id IN ('AGT020', 'AGT021', 'AGT022', 'AGT023', 'AGT040')""")
 def tool_findings(spark, sf_dir):
     return rules.tool_rules(facts(spark, sf_dir))
 
 
+@register("framework_findings", RULED + """
+SELECT rule_id, agent, subject, evidence FROM fnd WHERE rule_id LIKE 'ADK%'""")
+def framework_findings(spark, sf_dir):
+    return rules.framework_rules(facts(spark, sf_dir))
+
+
 @register("server_findings", sql("agents mcp_servers", """,
 m AS (SELECT a.name AS agent, m.name AS subject, coalesce(m.url, m.command, '') AS evidence, m.*, m.url IS NOT NULL AND m.url NOT LIKE '%//localhost%' AND m.url NOT LIKE '%//127.%' AS remote FROM f_mcp_servers m JOIN f_agents a ON m.agent_key = a.agent_key)
 SELECT 'AGT001' AS rule_id, agent, subject, evidence FROM m WHERE transport = 'stdio' AND (',' || args || ',' LIKE '%,/,%' OR ',' || args || ',' LIKE '%,.,%')
@@ -158,74 +164,65 @@ def server_findings(spark, sf_dir):
     return rules.server_rules(facts(spark, sf_dir))
 
 
-@register("identity_findings", sql("agents identities", """,
-i AS (SELECT a.name AS agent, i.name AS subject, '' AS evidence, roles, permissions, oauth_scopes, credential_source FROM f_identities i JOIN f_agents a ON i.agent_key = a.agent_key)
-SELECT 'IDN001' AS rule_id, agent, subject, evidence FROM i WHERE lower(replace(replace(roles, '_', ''), '-', '')) LIKE '%owner%' OR lower(roles) LIKE '%editor%' OR lower(roles) LIKE '%admin%'
-UNION ALL SELECT 'IDN002', agent, subject, evidence FROM i WHERE permissions LIKE '%.*%'
-UNION ALL SELECT 'IDN003', agent, subject, evidence FROM i WHERE oauth_scopes LIKE '%/auth/drive%'
-UNION ALL SELECT 'IDN004', agent, subject, evidence FROM i WHERE credential_source = 'hardcoded'"""))
+@register("identity_findings", RULED + """
+SELECT rule_id, agent, subject, evidence FROM fnd WHERE rule_id LIKE 'IDN%'""")
 def identity_findings(spark, sf_dir):
     return rules.identity_rules(facts(spark, sf_dir))
 
 
-CAPS = """,
-cap AS (SELECT DISTINCT agent_key, unnest(string_split(caps, ',')) AS cap FROM f_tools UNION SELECT agent_key, unnest(CASE WHEN url IS NOT NULL THEN ['mcp.remote', 'network.external'] ELSE ['mcp.local'] END) FROM f_mcp_servers),
-caps AS (SELECT a.agent_key, a.name AS agent, ',' || coalesce(string_agg(c.cap, ',' ORDER BY c.cap), '') || ',' AS c FROM f_agents a LEFT JOIN cap c ON c.agent_key = a.agent_key AND c.cap <> '' GROUP BY a.agent_key, a.name)"""
-
-
-@register("capability_findings", sql("agents tools mcp_servers policies", CAPS + """,
-one AS (SELECT s.agent, s.agent_key, x.cap FROM (SELECT agent, agent_key, unnest(string_split(trim(c, ','), ',')) AS cap FROM caps) x JOIN caps s ON s.agent_key = x.agent_key),
-p AS (SELECT agent_key, ',' || required || ',' AS r, ',' || denied || ',' AS d, max_privileged AS m FROM f_policies)
-SELECT 'CAP001' AS rule_id, o.agent, string_agg(o.cap, ',' ORDER BY o.cap) AS evidence FROM one o JOIN p ON p.agent_key = o.agent_key WHERE p.r <> ',,' AND p.r NOT LIKE '%,' || o.cap || ',%' GROUP BY o.agent
-UNION ALL SELECT 'CAP002', o.agent, string_agg(o.cap, ',' ORDER BY o.cap) FROM one o JOIN p ON p.agent_key = o.agent_key WHERE p.d LIKE '%,' || o.cap || ',%' GROUP BY o.agent
-UNION ALL SELECT 'CAP003', o.agent, string_agg(o.cap, ',' ORDER BY o.cap) FROM one o LEFT JOIN p ON p.agent_key = o.agent_key WHERE o.cap IN ('process.execute', 'destructive.write', 'external.write', 'data.write', 'secrets.read', 'identity.admin') GROUP BY o.agent, p.m HAVING count(*) > coalesce(p.m, 3)
-UNION ALL SELECT 'CAP004', agent, '' FROM caps WHERE c LIKE '%,process.execute,%' AND c LIKE '%,network.external,%'
-UNION ALL SELECT 'CAP005', agent, '' FROM caps WHERE c LIKE '%,data.read,%' AND (c LIKE '%,data.write,%' OR c LIKE '%,destructive.write,%')"""))
+@register("capability_findings", RULED + """
+SELECT rule_id, agent, subject, evidence FROM fnd WHERE rule_id LIKE 'CAP%'""")
 def capability_findings(spark, sf_dir):
-    return rules.agent_rules(facts(spark, sf_dir)).filter("rule_id like 'CAP%'").select("rule_id", "agent", "evidence")
+    fs = facts(spark, sf_dir)
+    return rules.agent_rules(fs).filter("rule_id like 'CAP%'").unionByName(rules.approval_rules(fs))
 
 
-@register("resource_findings", sql("agents tools resources policies", """,
-r AS (SELECT DISTINCT r.agent_key, r.selector FROM f_resources r JOIN f_tools t ON t.agent_key = r.agent_key AND t.name = r.owner_name)
-SELECT 'DATA001' AS rule_id, a.name AS agent, string_agg(r.selector, ',' ORDER BY r.selector) AS evidence FROM r JOIN f_agents a ON a.agent_key = r.agent_key WHERE r.selector IN ('*', '/') GROUP BY a.name
-UNION ALL SELECT 'DATA002', a.name, string_agg(r.selector, ',' ORDER BY r.selector) FROM r JOIN f_agents a ON a.agent_key = r.agent_key JOIN f_policies p ON p.agent_key = r.agent_key
-WHERE p.allowed_resources <> '' AND NOT (r.selector GLOB 'bucket/*' OR r.selector GLOB 'db/?rders') GROUP BY a.name"""))
+@register("resource_findings", RULED + """
+SELECT rule_id, agent, subject, evidence FROM fnd WHERE rule_id LIKE 'DATA%' OR rule_id = 'AGT010'""")
 def resource_findings(spark, sf_dir):
-    return rules.agent_rules(facts(spark, sf_dir)).filter("rule_id in ('DATA001', 'DATA002')").select("rule_id", "agent", "evidence")
+    return rules.agent_rules(facts(spark, sf_dir)).filter("rule_id like 'DATA%' or rule_id = 'AGT010'")
 
 
-@register("network_findings", sql("agents destinations policies", """,
-d AS (SELECT DISTINCT agent_key, target, restricted FROM f_destinations)
-SELECT 'NET001' AS rule_id, a.name AS agent, '' AS evidence FROM d JOIN f_agents a ON a.agent_key = d.agent_key GROUP BY a.name HAVING count(*) FILTER (WHERE d.target IN ('*', '0.0.0.0/0') OR d.target LIKE '*.%' OR NOT d.restricted) > 0
-UNION ALL SELECT 'NET003', a.name, string_agg(d.target, ',' ORDER BY d.target) FROM (SELECT DISTINCT agent_key, target FROM d) d JOIN f_agents a ON a.agent_key = d.agent_key JOIN f_policies p ON p.agent_key = d.agent_key
-WHERE p.allowed_destinations <> '' AND NOT (d.target GLOB '*.internal' OR d.target GLOB 'api.*') GROUP BY a.name"""))
+@register("network_findings", RULED + """
+SELECT rule_id, agent, subject, evidence FROM fnd WHERE rule_id LIKE 'NET%'""")
 def network_findings(spark, sf_dir):
-    return rules.agent_rules(facts(spark, sf_dir)).filter("rule_id in ('NET001', 'NET003')").select("rule_id", "agent", "evidence")
+    return rules.agent_rules(facts(spark, sf_dir)).filter("rule_id like 'NET%'")
 
 
-@register("attack_paths", sql("agents tools inputs mcp_servers", CAPS + """,
-u AS (SELECT DISTINCT agent_key FROM f_inputs WHERE trust = 'untrusted' OR kind IN ('web', 'browser', 'email', 'document', 'retrieval', 'external', 'webhook')),
-t AS (SELECT agent_key, ',' || caps || ',' AS c, approval, network_scope FROM f_tools),
-k AS (SELECT s.agent, s.agent_key, s.c FROM caps s JOIN u ON u.agent_key = s.agent_key)
-SELECT 'PATH001' AS rule_id, agent, '' AS evidence FROM k WHERE EXISTS (SELECT 1 FROM t WHERE t.agent_key = k.agent_key AND t.c LIKE '%,process.execute,%' AND t.approval IS NOT TRUE)
-UNION ALL SELECT 'PATH002', agent, '' FROM k WHERE EXISTS (SELECT 1 FROM t WHERE t.agent_key = k.agent_key AND t.c LIKE '%,destructive.write,%' AND t.approval IS NOT TRUE)
-UNION ALL SELECT 'PATH005', agent, '' FROM k WHERE c LIKE '%,secrets.read,%' AND EXISTS (SELECT 1 FROM t WHERE t.agent_key = k.agent_key AND (t.c LIKE '%,network.external,%' OR t.c LIKE '%,external.write,%') AND coalesce(t.network_scope <> 'fixed_managed_service', TRUE))
-UNION ALL SELECT 'PATH006', agent, string_agg(cap, ',' ORDER BY cap) FROM (SELECT agent, unnest(string_split(trim(c, ','), ',')) AS cap FROM k) z WHERE cap IN ('process.execute', 'destructive.write', 'secrets.read', 'identity.admin') GROUP BY agent HAVING count(*) >= 2"""))
+@register("attack_paths", RULED + """
+SELECT rule_id, agent, subject, evidence FROM fnd WHERE rule_id LIKE 'PATH%'""")
 def attack_paths(spark, sf_dir):
-    return rules.agent_rules(facts(spark, sf_dir)).filter("rule_id in ('PATH001', 'PATH002', 'PATH005', 'PATH006')").select("rule_id", "agent", "evidence")
+    fs = facts(spark, sf_dir)
+    return rules.path_rules(fs).unionByName(rules.agent_rules(fs).filter("rule_id like 'PATH%'"))
 
 
-@register("findings")
+@register("findings", RULED + "\nSELECT * FROM found")
 def findings(spark, sf_dir):
     return rules.evaluate(facts(spark, sf_dir)).withColumn("owasp", F.array_join("owasp", ","))
 
 
-@register("findings_by_layer")
+@register("findings_by_layer", RULED + """
+SELECT CAST(l.layer AS INTEGER) AS layer, count(f.rule_id) AS n, max(f.severity) AS worst FROM (SELECT unnest([1, 2, 3, 4, 5]) AS layer) l LEFT JOIN found f ON f.layer = l.layer GROUP BY l.layer""")
 def findings_by_layer(spark, sf_dir):
     return rules.by_layer(rules.evaluate(facts(spark, sf_dir)))
 
 
-@register("findings_by_risk")
+@register("findings_by_context", RULED + """
+SELECT x.source_context, count(f.rule_id) AS n FROM (SELECT unnest(['runtime', 'cli', 'application-support', 'test', 'example', 'tutorial', 'notebook', 'template-generated', 'unknown']) AS source_context) x
+LEFT JOIN found f ON f.source_context = x.source_context GROUP BY x.source_context""")
+def findings_by_context(spark, sf_dir):
+    return rules.by_context(rules.evaluate(facts(spark, sf_dir)))
+
+
+@register("findings_at_runtime", RULED + """
+SELECT * FROM found WHERE source_context NOT IN ('test', 'example', 'notebook', 'application-support')""")
+def findings_at_runtime(spark, sf_dir):
+    """What remains when findings of tests, examples, notebooks and support code are left out before the gates."""
+    kept, _ = rules.exclude_contexts(rules.evaluate(facts(spark, sf_dir)), ["test", "example", "notebook", "application-support"])
+    return kept.withColumn("owasp", F.array_join("owasp", ","))
+
+
+@register("findings_by_risk", RULED + Q.RISK_ROWS)
 def findings_by_risk(spark, sf_dir):
     return rules.by_risk(rules.evaluate(facts(spark, sf_dir)))
 
@@ -349,30 +346,36 @@ def _snapshots(spark, sf_dir):
     from dataclasses import replace
 
     fs = facts(spark, sf_dir)
-    k = F.crc32(F.col("name").cast("binary")) % 10
+    k = F.substring("name", 6, 20).cast("long") % 10
     tools = fs.tools.filter(k != 9).withColumns({"approval": F.when(k == 0, F.lit(None)).otherwise(F.col("approval")), "caps": F.when(k == 1, F.array_union("caps", X.strings(("network.external",)))).otherwise(F.col("caps")), "identity": F.when(k == 2, "sa-0").otherwise(F.col("identity"))})
     return fs, replace(fs, tools=tools, destinations=fs.destinations.unionByName(fs.tools.filter(k == 3).select("agent_key", F.col("name").alias("owner_name"), F.lit("new.example.com").alias("target"), F.lit(False).alias("restricted"))))
 
 
-@register("relationship_delta")
+@register("relationship_delta", sql(TOOL_VIEWS, Q.HEAD + Q.SNAPSHOT + Q.of_head(Q.SNAPSHOT) + Q.DELTA + "\nSELECT * FROM dlt"))
 def relationship_delta(spark, sf_dir):
     base, head = _snapshots(spark, sf_dir)
     return delta.relationship_delta(authority.tool_relationships(base), authority.tool_relationships(head))
 
 
-@register("boundary_crossings")
+@register("boundary_crossings", sql(TOOL_VIEWS, Q.HEAD + Q.SNAPSHOT + Q.of_head(Q.SNAPSHOT) + Q.CLASSES.format(name="cls", rows="snap") + Q.CLASSES.format(name="cls2", rows="snap_h") + Q.CROSSED))
 def boundary_crossings(spark, sf_dir):
     base, head = (authority.boundaries(authority.tool_relationships(x)) for x in _snapshots(spark, sf_dir))
     return delta.crossing_summary(delta.boundary_crossings(base, head))
 
 
-@register("finding_delta")
+@register("finding_delta", sql(Q.RULE_VIEWS, Q.RULES + Q.HEAD + Q.of_head(Q.RULES) + """,
+b AS (SELECT fingerprint, max(evidence) AS e FROM found GROUP BY fingerprint), h AS (SELECT fingerprint, max(evidence) AS e FROM found_h GROUP BY fingerprint)
+SELECT coalesce(b.fingerprint, h.fingerprint) AS fingerprint, CASE WHEN b.fingerprint IS NULL THEN 'introduced' WHEN h.fingerprint IS NULL THEN 'resolved' ELSE 'changed' END AS change, FALSE AS worsened
+FROM b FULL JOIN h ON b.fingerprint = h.fingerprint WHERE b.fingerprint IS NULL OR h.fingerprint IS NULL OR b.e <> h.e"""))
 def finding_delta(spark, sf_dir):
     base, head = (rules.evaluate(x).select("fingerprint", "rule_id", "severity", "evidence") for x in _snapshots(spark, sf_dir))
     return delta.finding_delta(base, head)
 
 
-@register("security_review")
+@register("security_review", sql(TOOL_VIEWS + " clauses", Q.HEAD + Q.SNAPSHOT + Q.of_head(Q.SNAPSHOT) + Q.DELTA + CLAUSES + Q.of_head(CLAUSES) + """,
+bad AS (SELECT relationship_id, string_agg(DISTINCT clause, ',' ORDER BY clause) AS violations FROM results_h h WHERE status = 'violation'
+  AND NOT EXISTS (SELECT 1 FROM results b WHERE b.relationship_id = h.relationship_id AND b.clause = h.clause AND b.status = h.status AND b.reason = h.reason) GROUP BY relationship_id)
+SELECT d.*, coalesce(x.violations, '') AS violations FROM dlt d LEFT JOIN bad x ON x.relationship_id = d.relationship_id WHERE d.change = 'added' OR d.reasons <> ''"""))
 def security_review(spark, sf_dir):
     base, head = _snapshots(spark, sf_dir)
     b, h = authority.tool_relationships(base), authority.tool_relationships(head)

@@ -9,6 +9,7 @@ tool stays with that dimension unresolved. Roles and permissions are fine enough
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,12 @@ VIEWS = {
     "agents": """
 SELECT s_suppkey AS agent_key, s_name AS name, s_suppkey AS ordinal,
   CASE s_suppkey % 4 WHEN 0 THEN 'google-adk' WHEN 1 THEN 'openai-agents' WHEN 2 THEN 'langgraph' ELSE 'pydantic-ai' END AS framework,
+  CASE s_suppkey % 9 WHEN 0 THEN 'tests/test_agent.py' WHEN 1 THEN 'examples/demo/agent.py' WHEN 2 THEN 'notebooks/run.ipynb' WHEN 3 THEN 'scripts/deploy.py' WHEN 4 THEN NULL ELSE 'app/agents/main.py' END AS path,
   s_suppkey % 11 = 0 AS approval_plugin, s_suppkey % 13 = 0 AS before_tool_callback, s_suppkey % 7 = 0 AS safety_plugin, s_suppkey % 5 = 0 AS a2a_exposed
 FROM supplier""",
     "delegations": """
-SELECT p.s_suppkey AS agent_key, c.s_name AS target FROM supplier p JOIN supplier c ON c.s_suppkey = 2 * p.s_suppkey OR c.s_suppkey = 2 * p.s_suppkey + 1
+SELECT p.s_suppkey AS agent_key, c.s_name AS target FROM supplier p JOIN supplier c ON c.s_suppkey = 2 * p.s_suppkey
+UNION ALL SELECT p.s_suppkey, c.s_name FROM supplier p JOIN supplier c ON c.s_suppkey = 2 * p.s_suppkey + 1
 UNION ALL SELECT p.s_suppkey, c.s_name FROM supplier p JOIN supplier c ON p.s_suppkey % 17 = 0 AND c.s_suppkey = CAST((p.s_suppkey - p.s_suppkey % 2) / 2 AS BIGINT)""",
     "tools": """
 SELECT l_suppkey AS agent_key, 'tool-' || CAST(l_partkey AS STRING) AS name,
@@ -32,6 +35,33 @@ SELECT l_suppkey AS agent_key, 'tool-' || CAST(l_partkey AS STRING) AS name,
   CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 'sa-' || CAST(l_partkey % 5 AS STRING) END AS identity,
   CASE l_partkey % 6 WHEN 0 THEN 'fixed_managed_service' WHEN 1 THEN 'explicit_destination' ELSE NULL END AS network_scope
 FROM lineitem GROUP BY l_suppkey, l_partkey""",
+    "tool_details": """
+SELECT l_suppkey AS agent_key, 'tool-' || CAST(l_partkey AS STRING) AS name,
+  CASE l_partkey % 9 WHEN 0 THEN 'adk_code_executor' WHEN 1 THEN 'adk_agent_tool' WHEN 2 THEN 'adk_a2a_remote' ELSE NULL END AS part_of,
+  CASE l_partkey % 13 WHEN 0 THEN 'EnvironmentToolset' WHEN 1 THEN 'ExecuteBashTool' WHEN 2 THEN 'ComputerUseToolset' WHEN 3 THEN 'BigQueryToolset' WHEN 4 THEN 'GmailToolset' WHEN 5 THEN 'OpenAPIToolset' ELSE NULL END AS builtin,
+  CASE l_partkey % 27 WHEN 0 THEN 'UnsafeLocalCodeExecutor' WHEN 9 THEN 'VertexAiCodeExecutor' ELSE NULL END AS executor,
+  CASE l_partkey % 4 WHEN 0 THEN FALSE WHEN 1 THEN TRUE ELSE NULL END AS sandboxed, CASE l_partkey % 26 WHEN 0 THEN 'LocalEnvironment' ELSE NULL END AS environment,
+  l_partkey % 5 = 0 AS bash_restrictive, l_partkey % 7 <> 0 AS limits_applicable, l_partkey % 3 = 0 AS limits_complete,
+  CASE l_partkey % 6 WHEN 1 THEN FALSE WHEN 4 THEN TRUE ELSE NULL END AS include_plugins,
+  CASE l_partkey % 4 WHEN 0 THEN 'http://card.example.com/a' WHEN 1 THEN 'https://card.example.com/a' ELSE NULL END AS agent_card,
+  CASE l_partkey % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END AS card_authenticated, l_partkey % 8 = 4 AS filtered, l_partkey % 2 = 1 AS control_custom, l_partkey % 3 <> 1 AS control_mutating
+FROM lineitem GROUP BY l_suppkey, l_partkey""",
+    "unbound_tools": """
+SELECT 'loose-' || CAST(p_partkey AS STRING) AS name, CASE p_partkey % 3 WHEN 0 THEN 'process.execute' WHEN 1 THEN 'data.read' ELSE '' END AS caps,
+  CASE p_size % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END AS approval FROM part""",
+    "global_identities": """
+SELECT 'ga-' || CAST(c_custkey AS STRING) AS name, 'gcp' AS provider,
+  CASE c_custkey % 4 WHEN 0 THEN 'roles/editor' WHEN 1 THEN 'roles/viewer' ELSE '' END AS roles, CASE c_custkey % 5 WHEN 0 THEN 'compute.*' ELSE '' END AS permissions,
+  CASE c_custkey % 7 WHEN 0 THEN 'https://www.googleapis.com/auth/drive' ELSE '' END AS oauth_scopes, CASE c_custkey % 6 WHEN 0 THEN 'plaintext' ELSE NULL END AS credential_source
+FROM customer""",
+    "flows": """
+SELECT 'flow-' || CAST(o_orderkey AS STRING) AS flow_id, o_custkey % (SELECT count(*) FROM supplier) + 1 AS agent_key,
+  CASE o_orderkey % 6 WHEN 0 THEN 'user_input' WHEN 1 THEN 'web_retrieval' WHEN 2 THEN 'secret_value' WHEN 3 THEN 'agent_tool_input' WHEN 4 THEN 'mcp_response' ELSE 'external_http_response' END AS source_kind,
+  CASE o_custkey % 3 WHEN 0 THEN 'process_execute' WHEN 1 THEN 'memory_write' ELSE 'external_send' END AS sink_kind,
+  CASE o_orderstatus WHEN 'P' THEN 'potential' ELSE 'supported' END AS confidence,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'proven_agent_reachable' WHEN '2-HIGH' THEN 'proven_agent_reachable' WHEN '3-MEDIUM' THEN 'proven_non_agent' ELSE 'unknown' END AS reachability,
+  CASE o_orderkey % 7 WHEN 0 THEN 'test' ELSE 'runtime' END AS execution_context
+FROM orders""",
     "identities": """
 SELECT s_suppkey AS agent_key, 'sa-' || CAST(k AS STRING) AS name, 'gcp' AS provider,
   CASE (s_suppkey + k) % 4 WHEN 0 THEN 'roles/owner' WHEN 1 THEN 'roles/storage.objectViewer,roles/bigquery.dataViewer' WHEN 2 THEN 'roles/bigquery.dataEditor' ELSE '' END AS roles,
@@ -89,6 +119,10 @@ class FactSet:
     agents: DataFrame
     delegations: DataFrame
     tools: DataFrame
+    tool_details: DataFrame
+    unbound_tools: DataFrame
+    global_identities: DataFrame
+    flows: DataFrame
     identities: DataFrame
     resources: DataFrame
     destinations: DataFrame
@@ -104,11 +138,11 @@ def facts(spark: SparkSession, sf_dir: str) -> FactSet:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
-    sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "lineitem", "customer", "part") if t in sql}
+    sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "lineitem", "customer", "part", "orders") if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)}
     for t, df in sources.items():
         df.createOrReplaceTempView(f"lens_{t}")
     for t in sources:
-        sql = sql.replace(f"FROM {t}", f"FROM lens_{t}").replace(f"JOIN {t}", f"JOIN lens_{t}")
+        sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 lens_{t}", sql)
     df = spark.sql(sql)
     empty = F.array().cast("array<string>")
     lists = {c: F.when(F.col(c) == "", empty).otherwise(F.split(c, ",")) for c in df.columns if c in LISTS and dict(df.dtypes)[c] == "string"}

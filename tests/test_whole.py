@@ -4,7 +4,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from grantscope.operators import authority, rules
+from grantscope.operators import authority, closure, rules
 from grantscope.plans.lens import facts
 
 SF = "/root/testdata/sf0.001"
@@ -33,7 +33,46 @@ def test_outbound_tools_without_destination_and_assessed_risks(spark):
     ids = {r.target_name: r.relationship_id for r in authority.tool_relationships(few).collect()}
     found = {r.agent: r.evidence for r in rules.agent_rules(few).filter("rule_id = 'NET002'").collect()}
     assert found == {names[1]: f"capabilities=network.external;authority_relationship={ids['a']}", names[4]: f"capabilities=external.write,network.external;authority_relationship={ids['e']}"}
-    everything = {r[0] for r in rules.REGISTRY}
-    assert everything - set(rules.evaluated()) == {"AGT023", *[f"ADK{i:03}" for i in (*range(2, 11), 12)], "PATH007"} and set(rules.evaluated()) <= everything
-    status = {r.risk: r.status for r in rules.by_risk(rules.evaluate(few)).collect()}
-    assert status["ASI06"] == status["ASI10"] == "not_assessed" and status["ASI04"] == "no_mapped_findings"
+    assert {r[0] for r in rules.REGISTRY} == set(rules.evaluated())
+    quiet = replace(few, flows=fs.flows.limit(0), unbound_tools=fs.unbound_tools.limit(0), global_identities=fs.global_identities.limit(0))
+    found = rules.evaluate(quiet)
+    status = {r.risk: r.status for r in rules.by_risk(found).collect()}
+    assert status["ASI06"] == status["ASI04"] == "no_mapped_findings" and status["ASI10"] == "not_assessed"
+    assert {r.risk: r.status for r in rules.by_risk(found, disabled=("PATH007",)).collect()}["ASI06"] == "not_assessed"
+
+
+def test_tools_and_identities_without_an_agent_are_found(spark):
+    fs = facts(spark, SF)
+    loose = fs.unbound_tools.filter("array_contains(caps, 'process.execute') and approval is not true").count()
+    assert rules.tool_rules(fs).filter("agent is null").count() == loose > 0
+    free = rules.identity_rules(fs).filter("agent is null")
+    assert free.count() > 0 and free.filter("not startswith(subject, 'ga-')").count() == 0
+    known = fs.global_identities.limit(1).select(F.lit(1).cast("long").alias("agent_key"), "name", "provider", "roles", "permissions", "oauth_scopes", "credential_source")
+    linked = rules.identity_rules(replace(fs, identities=known.select(*fs.identities.columns)))
+    name = known.first().name
+    assert linked.filter(F.col("subject") == name).filter("agent is null").count() == 0
+
+
+def test_reach_counts_pairs_not_paths(spark):
+    # twelve diamonds on top of one another: 4096 paths, 25 agents
+    names = [f"n{i}" for i in range(37)]
+    edges = []
+    for i in range(0, 36, 3):
+        edges += [(i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3)]
+    agents = spark.createDataFrame(list(enumerate(names)), "agent_key long, name string")
+    delegations = spark.createDataFrame([(a, names[b]) for a, b in [*edges, (36, 36), (5, 0)]], "agent_key long, target string")
+    step = {}
+    for a, b in [*edges, (5, 0)]:
+        step.setdefault(a, set()).add(b)
+    want = set()
+    for a in range(37):
+        todo, seen = [a], set()
+        while todo:
+            for b in step.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        want |= {(names[a], names[b]) for b in seen if b != a}
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    assert {(r.root, r.leaf) for r in closure.reachable(agents, delegations).collect()} == want
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit") == before
