@@ -19,6 +19,7 @@ Extra columns stay.
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
@@ -32,8 +33,8 @@ from grantscope.llm.common import cut, fold_of, shield
 
 DIM, NONZERO, HIDDEN = 64, 4, 32
 #: Bounds of the fit: labelled rows, words with a context vector, and their least uses in the sample.
-SAMPLE, CONTEXT_WORDS, LEAST_USES, APART = 6_000, 50_000, 3, 50
-#: Words of one document, or of several short ones, that are worked on at a time; sums flushed at a time while fitting.
+SAMPLE, CONTEXT_WORDS, LEAST_USES, APART = 6_000, 20_000, 3, 50
+#: Words of one document, or of several short ones, that are worked on at a time; words counted at a time while fitting.
 PIECE, FLUSH = 8_192, 50_000
 #: Fixed value of the contract: the score from which a document is predicted good.
 THRESHOLD = 0.3
@@ -196,42 +197,48 @@ def train(pooled: np.ndarray, label: np.ndarray, context: dict[str, int], near:
     return model
 
 
-def _contexts(frames):
-    """Summed neighbour vectors of the sample's words, and their counts, some thousand words at a time."""
-    vectors, sums, count = Vectors(), {}, {}
-
-    def flush():
-        out = pd.DataFrame({"word": list(count), "n": list(count.values()), "near": [sums[w] for w in count]})
-        sums.clear()
-        count.clear()
-        return out
-
+def _counts(frames):
+    """Uses of the sample's words, some thousand words at a time."""
+    count = Counter()
     for f in frames:
-        last_at, last = -1, None
-        for at, words, starts in _gathered(_pieces(f["text"])):
-            own = vectors.of(words)
-            near = np.zeros_like(own)
-            near[1:] += own[:-1]
-            near[:-1] += own[1:]
-            # neighbours are of one text; a piece goes on where the text's last one ended
-            for a in starts[1:]:
-                near[a] -= own[a - 1]
-                near[a - 1] -= own[a]
-            if at[0] == last_at:
-                near[0] += last[1]
-                sums[last[0]] = sums.get(last[0], 0) + own[0]
-                count.setdefault(last[0], 0)
-            last_at, last = at[-1], (words[-1], own[-1].copy())
-            for w, x in zip(words, near):
-                if w in count:
-                    sums[w] = sums[w] + x
-                    count[w] += 1
-                else:
-                    sums[w], count[w] = x.copy(), 1
+        for _, words in _pieces(f["text"]):
+            count.update(words)
             if len(count) > FLUSH:
-                yield flush()
+                yield pd.DataFrame({"word": list(count), "n": list(count.values())})
+                count.clear()
     if count:
-        yield flush()
+        yield pd.DataFrame({"word": list(count), "n": list(count.values())})
+
+
+def _contexts(chosen: dict[str, int]):
+    """Summed neighbour vectors of the chosen words in a part of the sample: (word, near)."""
+
+    def run(frames):
+        vectors, sums = Vectors(), np.zeros((len(chosen) + 1, DIM), np.float32)
+        met = np.zeros(len(chosen) + 1, bool)
+        for f in frames:
+            last_at, last = -1, None
+            for at, words, starts in _gathered(_pieces(f["text"])):
+                own = vectors.of(words)
+                near = np.zeros_like(own)
+                near[1:] += own[:-1]
+                near[:-1] += own[1:]
+                # neighbours are of one text; a piece goes on where the text's last one ended
+                for a in starts[1:]:
+                    near[a] -= own[a - 1]
+                    near[a - 1] -= own[a]
+                row = np.fromiter((chosen.get(w, len(chosen)) for w in words), np.int64, len(words))
+                if at[0] == last_at:
+                    near[0] += last[1]
+                    sums[last[0]] += own[0]
+                last_at, last = at[-1], (row[-1], own[-1].copy())
+                np.add.at(sums, row, near)
+                met[row] = True
+        found = [(w, sums[i]) for w, i in chosen.items() if met[i]]
+        if found:
+            yield pd.DataFrame(found, columns=["word", "near"])
+
+    return run
 
 
 def _pool(shared):
@@ -251,9 +258,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, context_words:
     # a row per doc_id of the sample, however often it recurs
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     texts = cut(picked.groupBy("doc_id").agg(F.min("text").alias("text")), "quality-sample").repartition(8, "doc_id").sortWithinPartitions("doc_id")
-    parts = texts.mapInPandas(_contexts, "word string, n long, near array<float>")
-    near = parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(F.col("near")[i]).alias(f"v{i}") for i in range(DIM)])
-    near = near.filter(F.col("n") >= LEAST_USES).orderBy(F.desc("n"), "word").limit(context_words)
+    # the words first, then the sums of their neighbours alone
+    uses = texts.mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_USES)
+    chosen_words = [r.word for r in uses.orderBy(F.desc("n"), "word").limit(context_words).select("word").collect()]
+    number = {w: i for i, w in enumerate(chosen_words)}
+    parts = texts.mapInPandas(_contexts(number), "word string, near array<float>")
+    near = parts.groupBy("word").agg(*[F.sum(F.col("near")[i]).alias(f"v{i}") for i in range(DIM)]).orderBy("word")
     top = near.select("word", F.array(*[F.round(f"v{i}", 4).cast("float") for i in range(DIM)]).alias("near")).toPandas()
     context = {w: i for i, w in enumerate(top["word"])}
     values = _unit(np.stack(top["near"].to_numpy()).astype(np.float32)) if len(top) else np.zeros((0, DIM), np.float32)
