@@ -1,6 +1,6 @@
 """Named queries over the supplied tables, with their SQL counterparts."""
 
-from grantscope.plans import catalog, core  # noqa: F401  (core registers its queries)
+from grantscope.plans import catalog, core, more, repository  # noqa: F401  (they register their queries)
 
 #: The flagship: who can reach process execution, and by which path of delegation.
 FLAGSHIP = "authority_query"

@@ -134,10 +134,11 @@ class FactSet:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> FactSet:
-    return FactSet(**{name: _table(spark, sf_dir, name, sql) for name, sql in VIEWS.items()})
+    return FactSet(**{name: table(spark, sf_dir, sql) for name, sql in VIEWS.items()})
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of `sql` over the supplied tables; columns named like lists become arrays."""
     sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "lineitem", "customer", "part", "orders") if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)}
     for t, df in sources.items():
         df.createOrReplaceTempView(f"lens_{t}")
