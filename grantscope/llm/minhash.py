@@ -264,19 +264,20 @@ def _confirm_pairs(percent: int):
 PART = "key long, i int, j int, block int, id long, s1 long, s2 long, grp long, n_shingles long, sig array<long>, bands array<long>"
 
 
-def _ties(own: DataFrame, bucketed: DataFrame) -> DataFrame:
-    """(a, b): at most two ties of a class a, to its first leader and its nearest (steps 2)."""
+def _ties(own: DataFrame, bucketed: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(a, b): at most two ties of a class a, to its first leader and its nearest (step 2)."""
+    side = lambda df: F.broadcast(df) if small(df, broadcast_rows) else df
     part = lambda n: F.pmod(F.xxhash64(F.lit(n), "id"), F.ceil(F.col("n") / HOT)).cast("int").alias("part")
     read = lambda rows: rows.repartition("key", "part").sortWithinPartitions("key", "part", "id").select("key", "part", "id", "sig").mapInPandas(_lead, TIES)
     signed = bucketed.join(own.select("id", "sig"), "id")
     first = cut(read(signed.select("key", "id", "sig", part(0))), "ties")
     # leaders of the parts of hot buckets
     hot = bucketed.filter(F.col("n") > HOT).select("key").distinct()
-    leaders = first.filter("a = b").join(hot, "key").select("key", F.col("a").alias("id"))
-    counts = leaders.groupBy("key").agg(F.count("*").alias("n"))
+    leaders = first.filter("a = b").join(side(hot), "key").select("key", F.col("a").alias("id"))
+    counts = cut(leaders.groupBy("key").agg(F.count("*").alias("n")), "leader-counts")
     ties = first
     if not counts.isEmpty():
-        second = leaders.join(counts, "key").join(own.select("id", "sig"), "id")
+        second = leaders.join(side(counts), "key").join(own.select("id", "sig"), "id")
         ties = ties.unionByName(read(second.select("key", "id", "sig", part(1))))
     found = ties.filter("a <> b").groupBy("a").agg(F.min("b").alias("b1"), F.max_by("b", F.struct("near", -F.col("b"))).alias("b2"))
     return cut(found.select("a", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("b")), "chosen-ties")
@@ -285,7 +286,7 @@ def _ties(own: DataFrame, bucketed: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) per row of `docs`, and (m_id, component_id) per doc_id with words. Links: Jaccard >= percent / 100.
 
-    `broadcast_rows` bounds the table of doc_ids that may be broadcast to find their texts; a larger one is shuffled.
+    `broadcast_rows` bounds the tables of doc_ids and of hot buckets that may be broadcast; larger ones are shuffled.
     """
     sketch = cut(docs.select("doc_id", _sketch(words)("text").alias("k")).select("doc_id", "k.*"), "sketch")
     filled = sketch.filter("n_shingles > 0 and doc_id is not null")
@@ -306,7 +307,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
     sets = texts.mapInPandas(_sets(words), "id long, s1 long, s2 long, set array<long>")
     sets = cut(sets.dropDuplicates(["id", "s1", "s2"]) if recurs else sets, "sets")
     # step 3: a leader's sets go to each part of its members
-    ties = _ties(own, bucketed)
+    ties = _ties(own, bucketed, broadcast_rows)
     sizes = ties.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     dealt = ties.join(sizes, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("id"))
     wanted = dealt.unionByName(dealt.select("b", "part", F.col("b").alias("id")).distinct())
