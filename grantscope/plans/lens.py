@@ -133,16 +133,32 @@ class FactSet:
     grants: DataFrame
 
 
+#: The supplied tables that the views read.
+SOURCES = ("supplier", "lineitem", "customer", "part", "orders")
+
+
+def _sources(spark: SparkSession, sf_dir: str, names) -> None:
+    for t in names:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"lens_{t}")
+
+
+def _reads(sql: str) -> list[str]:
+    return [t for t in SOURCES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)]
+
+
 def facts(spark: SparkSession, sf_dir: str) -> FactSet:
-    return FactSet(**{name: table(spark, sf_dir, sql) for name, sql in VIEWS.items()})
+    _sources(spark, sf_dir, SOURCES)
+    return FactSet(**{name: _rows(spark, sql) for name, sql in VIEWS.items()})
 
 
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of `sql` over the supplied tables; columns named like lists become arrays."""
-    sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "lineitem", "customer", "part", "orders") if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)}
-    for t, df in sources.items():
-        df.createOrReplaceTempView(f"lens_{t}")
-    for t in sources:
+    _sources(spark, sf_dir, _reads(sql))
+    return _rows(spark, sql)
+
+
+def _rows(spark: SparkSession, sql: str) -> DataFrame:
+    for t in _reads(sql):
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 lens_{t}", sql)
     df = spark.sql(sql)
     empty = F.array().cast("array<string>")
