@@ -40,7 +40,7 @@ PERMS, BANDS, ROWS, BITS = 128, 20, 4, 4
 TIE, MAYBE = 0.74, 0.62
 #: Classes of a bucket that one task reads, members whose sets one task confirms, classes of a block.
 HOT, STAR, BLOCK = 256, 256, 512
-#: Parts of a bucket that are counted apart.
+#: Parts of a bucket, or of a set's copies, that are counted apart.
 SALTS = 16
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
 _AZ = str.maketrans(UPPER, LOWER)
@@ -291,8 +291,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, broadcas
     sketch = cut(docs.select("doc_id", _sketch(words)("text").alias("k")).select("doc_id", "k.*"), "sketch")
     filled = sketch.filter("n_shingles > 0 and doc_id is not null")
     recurs = not filled.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    member = cut(filled.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "id").distinct(), "members")
+    # copies are joined by their set's digest and a salt, so that a set of many copies is no single task's
+    copies = filled.select("doc_id", "s1", "s2", "n_shingles", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    same = ["s1", "s2", "n_shingles"]
+    least = copies.groupBy(*same, "salt").agg(F.min("doc_id").alias("id")).withColumn("id", F.min("id").over(Window.partitionBy(*same)))
+    member = cut(copies.join(least, [*same, "salt"]).select("doc_id", "id").distinct(), "members")
     own = filled.join(member.filter("doc_id = id").select("id"), F.col("doc_id") == F.col("id")).select("id", "s1", "s2", "n_shingles", "sig", "bands")
     own = own.dropDuplicates(["id", "s1", "s2"]) if recurs else own
     banded = own.select("id", F.explode("bands").alias("key")).distinct()
