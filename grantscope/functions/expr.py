@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words of a name that imply capabilities.
 CAPABILITY_WORDS = (
@@ -217,6 +219,18 @@ def stable_id(prefix: str, *parts: Column, digits: int = 20) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(payload.cast("binary"), 256), 1, digits))
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """A path below `root` without it; any other path's last part, so that no report shows where a scan ran."""
+    inside = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(inside)), F.substring(path, len(inside) + 1, F.length(path))).when(F.startswith(path, F.lit("/")), F.element_at(F.split(path, "/"), -1)).otherwise(path)
+
+
+def nfc(text: Column) -> Column:
+    """Text in Unicode's composed form, so that one fingerprint stands for both spellings. No built-in function does it."""
+
+    return F.pandas_udf(lambda texts: texts.str.normalize("NFC"), StringType(), F.PandasUDFType.SCALAR)(text)
+
+
 def permission_classes(permission: Column) -> Column:
     """Boundary classes a permission touches."""
     plain = F.lower(permission)

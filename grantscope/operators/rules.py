@@ -29,6 +29,12 @@ def registry(spark) -> DataFrame:
     return spark.createDataFrame(list(REGISTRY), "rule_id string, layer int, severity int, o string").select("rule_id", "layer", "severity", F.when(F.col("o") == "", F.array().cast("array<string>")).otherwise(F.split("o", ",")).alias("owasp"))
 
 
+def catalogue(spark) -> DataFrame:
+    """The rules with their layer, severity, risk categories and whether evaluate() runs them, by layer and id."""
+    rows = registry(spark).withColumn("evaluated", F.col("rule_id").isin(evaluated()))
+    return rows.withColumn("severity", F.get(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))).orderBy("layer", "rule_id")
+
+
 def _found(rows: DataFrame, rule: str, test, subject="target_name", evidence=None) -> DataFrame:
     return rows.filter(test).select(F.lit(rule).alias("rule_id"), "agent", F.col(subject).alias("subject"), (F.lit("") if evidence is None else evidence).alias("evidence"))
 
