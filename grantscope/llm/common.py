@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from grantscope.functions.cuts import cut, cuts_of, release, shared_dir  # noqa: F401  (the operators take them from here)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -15,38 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir. Only a local master, as in tests, may do without one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="grantscope-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: a durable cut that a lost executor can't undo."""
-    spark = df.sparkSession
-    path = f"{cuts_of(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cuts_of(spark: SparkSession) -> str:
-    """The folder of this application's cuts."""
-    return f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}"
-
-
-def release(spark: SparkSession) -> None:
-    """Delete this application's cuts. Results not yet written can't be read after it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(cuts_of(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def shield(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
     """`docs` with every column but the `needed` ones renamed out of an operator's way, and the columns that restore it."""
     names = {c: c if c in needed else f"__own_{i}" for i, c in enumerate(docs.columns)}

@@ -5,10 +5,13 @@ Only agents whose name is unique take part; a cycle is cut where a name would re
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantscope.functions import expr as X
+from grantscope.functions.cuts import cut
 
 MAX_DEPTH = 100
 
@@ -23,28 +26,20 @@ def edges(agents: DataFrame, delegations: DataFrame) -> DataFrame:
 def delegation_paths(agents: DataFrame, delegations: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(root, leaf, path): every simple path, the root itself included; an error past `max_depth` levels.
 
-    Paths can be many more than agents; reachable() doesn't go through them.
+    A round per step, each written before the next: a recursive query has a limit on its rows that Spark reads when
+    the query runs, out of reach of an operator. Paths can be many more than agents; reachable() doesn't go through them.
     """
-    spark = agents.sparkSession
-    edges(agents, delegations).createOrReplaceTempView("gs_edges")
-    agents.groupBy("name").count().filter("count = 1").select("name").createOrReplaceTempView("gs_roots")
-    limits = {"spark.sql.cteRecursionLevelLimit": str(max_depth), "spark.sql.cteRecursionRowLimit": "-1"}
-    before = {k: spark.conf.get(k) for k in limits}
-    try:
-        for k, v in limits.items():
-            spark.conf.set(k, v)
-        out = spark.sql("""
-            WITH RECURSIVE walk(root, leaf, path) AS (
-              SELECT name, name, array(name) FROM gs_roots
-              UNION ALL
-              SELECT w.root, e.child, array_append(w.path, e.child) FROM walk w JOIN gs_edges e ON e.parent = w.leaf WHERE NOT array_contains(w.path, e.child))
-            SELECT root, leaf, path FROM walk""")
-        # the limits are read when the plan is made
-        out._jdf.queryExecution().executedPlan()
-        return out
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    step = cut(edges(agents, delegations), "delegation-edges")
+    names = agents.groupBy("name").count().filter("count = 1")
+    fresh = cut(names.select(F.col("name").alias("root"), F.col("name").alias("leaf"), F.array("name").alias("path")), "delegation-paths")
+    found = [fresh]
+    for _ in range(max_depth):
+        longer = fresh.join(step, fresh.leaf == step.parent).filter(~F.array_contains("path", F.col("child")))
+        fresh = cut(longer.select("root", F.col("child").alias("leaf"), F.array_append("path", F.col("child")).alias("path")), "delegation-paths")
+        if fresh.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        found.append(fresh)
+    raise ValueError(f"delegation goes deeper than {max_depth} levels")
 
 
 def reachable(agents: DataFrame, delegations: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

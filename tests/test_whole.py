@@ -2,6 +2,7 @@
 
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from grantscope.operators import authority, closure, rules
@@ -76,3 +77,25 @@ def test_reach_counts_pairs_not_paths(spark):
     before = spark.conf.get("spark.sql.cteRecursionRowLimit")
     assert {(r.root, r.leaf) for r in closure.reachable(agents, delegations).collect()} == want
     assert spark.conf.get("spark.sql.cteRecursionRowLimit") == before
+
+
+def test_every_path_is_found_whatever_the_limit_on_recursive_rows(spark):
+    # three diamonds on top of one another and a way back: more paths than the session lets a recursive query have
+    edges = [(i + a, i + b) for i in (0, 3, 6) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))] + [(9, 3)]
+    agents = spark.createDataFrame([(i, f"n{i}") for i in range(10)], "agent_key long, name string")
+    delegations = spark.createDataFrame([(a, f"n{b}") for a, b in edges], "agent_key long, target string")
+    want, todo = set(), [(i,) for i in range(10)]
+    while todo:
+        path = todo.pop()
+        want.add(path)
+        todo += [(*path, b) for a, b in edges if a == path[-1] and b not in path]
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "20")
+    try:
+        found = closure.delegation_paths(agents, delegations).collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert sorted((r.root, r.leaf, tuple(r.path)) for r in found) == sorted((f"n{p[0]}", f"n{p[-1]}", tuple(f"n{i}" for i in p)) for p in want)
+    with pytest.raises(ValueError, match="deeper than 3 levels"):
+        closure.delegation_paths(agents, delegations, max_depth=3)
