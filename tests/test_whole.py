@@ -5,7 +5,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from grantscope.operators import authority, closure, rules
+from grantscope.operators import authority, closure, delta, policy, query, rules
+from grantscope.plans import core
 from grantscope.plans.lens import facts
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +100,16 @@ def test_every_path_is_found_whatever_the_limit_on_recursive_rows(spark):
     assert sorted((r.root, r.leaf, tuple(r.path)) for r in found) == sorted((f"n{p[0]}", f"n{p[-1]}", tuple(f"n{i}" for i in p)) for p in want)
     with pytest.raises(ValueError, match="deeper than 3 levels"):
         closure.delegation_paths(agents, delegations, max_depth=3)
+
+
+def test_query_returns_every_path_to_a_tool(spark):
+    fs = facts(spark, SF)
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "2")
+    try:
+        found = query.effective_authority(fs, capability="process.execute").count()
+    finally:
+        spark.conf.set(limit, before)
+    tools = authority.relationships(fs).filter("array_contains(capabilities, 'process.execute')")
+    assert found == tools.join(closure.delegation_paths(fs.agents, fs.delegations), F.col("leaf") == F.col("agent")).count() > 0
