@@ -28,6 +28,29 @@ def cut(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_place(spark: SparkSession) -> SparkSession:
+    """A session like `spark` whose joins leave rows that are dealt by some of the join's keys where they lie.
+
+    Spark reads this setting when a query runs, so that it can't be lent to the caller's session and put back.
+    """
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # what filters imply is not spelt out for every column: a driver ran out of memory over it
+    own.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    return own
+
+
+def cut_by(df: DataFrame, label: str, key: str, parts: int) -> DataFrame:
+    """A cut whose rows lie in `parts` buckets by `key`: groups and joins by `key` and more don't move them again."""
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    dealt = df.repartition(parts, key).write.format("parquet").option("path", f"{cuts_of(df.sparkSession)}/{name}").option("compression", "zstd")
+    dealt.bucketBy(parts, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def cuts_of(spark: SparkSession) -> str:
     """The folder of this application's cuts."""
     return f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}"

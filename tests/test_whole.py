@@ -113,3 +113,19 @@ def test_query_returns_every_path_to_a_tool(spark):
         spark.conf.set(limit, before)
     tools = authority.relationships(fs).filter("array_contains(capabilities, 'process.execute')")
     assert found == tools.join(closure.delegation_paths(fs.agents, fs.delegations), F.col("leaf") == F.col("agent")).count() > 0
+
+
+def test_review_by_key_moves_no_relationships_and_agrees_with_the_general_one(spark):
+    base, head = core._snapshots(spark, SF)
+    b, h = authority.tool_relationships(base), authority.tool_relationships(head)
+    changed = delta.result_delta(policy.evaluate(policy.observations(b), base.clauses), policy.evaluate(policy.observations(h), head.clauses))
+    want = delta.security_review(delta.relationship_delta(b, h), changed)
+    found = core.security_review(spark, SF)
+    columns = ["relationship_id", "agent", "target_name", "change", "reasons", "violations"]
+    assert found.columns == columns and sorted(found.collect()) == sorted(want.select(columns).collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(relationship_id" not in plan and "hashpartitioning(result_id" not in plan
+    assert delta.keys_agree(base, head)
+    twice = replace(head, tools=head.tools.unionByName(head.tools.limit(1)))
+    assert not delta.keys_agree(base, twice)
+    assert not delta.keys_agree(base, replace(head, agents=head.agents.withColumn("agent_key", F.col("agent_key") + 1)))
