@@ -35,8 +35,14 @@ def effective_authority(fs, *, agent=None, capability=None, target=None, destina
     paths = closure.delegation_paths(fs.agents, fs.delegations).withColumnRenamed("leaf", "agent")
     if agent:
         paths = paths.filter(_like(F.col("root"), agent))
-    found = rows.join(paths, "agent").withColumn("path", F.array_join("path", " > "))
-    return found.select("root", "path", "agent", "target_kind", "target_name", "relationship_id", "resolution", F.array_join("capabilities", ",").alias("capabilities"))
+    # lists become text before the join, once per path and relationship; names on paths are unique, so that the key
+    # joined besides changes nothing, and rows dealt by agent stay in place. Written paths are many times their files'
+    # size, which Spark would go by in broadcasting them: never
+    keyed = fs.agents.select("agent_key", F.col("name").alias("agent"))
+    paths = paths.withColumn("path", F.array_join("path", " > ")).hint("merge").join(keyed, "agent")
+    rows = rows.select("agent_key", "agent", "target_kind", "target_name", "relationship_id", "resolution", F.array_join("capabilities", ",").alias("capabilities"))
+    found = rows.join(paths.hint("merge"), ["agent_key", "agent"])
+    return found.select("root", "path", "agent", "target_kind", "target_name", "relationship_id", "resolution", "capabilities")
 
 
 def query_summary(found: DataFrame) -> DataFrame:

@@ -115,6 +115,35 @@ def test_query_returns_every_path_to_a_tool(spark):
     assert found == tools.join(closure.delegation_paths(fs.agents, fs.delegations), F.col("leaf") == F.col("agent")).count() > 0
 
 
+def test_query_broadcasts_no_paths_and_collects_no_sets(spark):
+    # paths are written: by their files' size Spark would broadcast any number of them
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "1g")
+    try:
+        found = core.authority_query(spark, SF)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    nodes = [x.strip(" :+-") for x in plan.splitlines()]
+    at = next(i for i, x in enumerate(nodes) if "Join" in x)
+    assert nodes[at].startswith("SortMergeJoin [agent_key") and "collect_set" not in plan
+    # tools come dealt by agent and stay in place: nothing is dealt by their names
+    assert "hashpartitioning(target_name" not in plan and "hashpartitioning(owner_name" not in plan and ", owner_name" not in "".join(x for x in nodes if x.startswith("Exchange"))
+
+
+def test_query_with_names_and_keys_that_recur(spark):
+    # a name that recurs is on no path; a key that recurs under two names keeps each name's paths apart
+    fs = facts(spark, SF)
+    agents = fs.agents.filter("agent_key between 1 and 4").withColumn("name", F.expr("CASE WHEN agent_key = 4 THEN 'n3' ELSE concat('n', agent_key) END"))
+    agents = agents.unionByName(agents.filter("agent_key = 2").withColumn("name", F.lit("twin")))
+    tools = spark.createDataFrame([(k, f"t{k}", "generic", ["process.execute"], True, False, None, None) for k in (1, 2, 3, 4)], fs.tools.schema)
+    delegations = spark.createDataFrame([(1, "n2"), (1, "twin"), (1, "n3")], fs.delegations.schema)
+    found = query.effective_authority(replace(fs, agents=agents, tools=tools, delegations=delegations), capability="process.*").collect()
+    want = [("n1", "n1", "t1"), ("n1", "n1 > n2", "t2"), ("n1", "n1 > twin", "t2"), ("n2", "n2", "t2"), ("twin", "twin", "t2")]
+    assert sorted((r.root, r.path, r.target_name) for r in found) == want
+
+
 def test_review_by_key_moves_no_relationships_and_agrees_with_the_general_one(spark):
     base, head = core._snapshots(spark, SF)
     b, h = authority.tool_relationships(base), authority.tool_relationships(head)
